@@ -39,16 +39,19 @@ class Limits:
     amount_tail: float = 1.1
     #: least studentised residual of a case, whatever the size of the source
     level_least: float = 14.0
-    amount_least: float = 5.5
+    amount_least: float = 5.2
     #: neighbours on each side that make the trend
     neighbours: int = 5
     #: least number of bars in a stuck run, and its least multiple of the source's usual longest run
     stuck_bars: int = 8
     stuck_times: float = 2.0
-    #: a source that repeats its value in a larger part of its steps hardly moves; its runs are quiet spells
+    #: a source that repeats its value in a larger part of its steps, or whose amount is 0 in a larger part of its bars,
+    #: hardly moves; its runs are quiet spells
     stuck_repeats: float = 0.35
-    #: readings of a source worth as much as the pooled scale of all sources
-    prior: float = 4.0
+    idle: float = 0.1
+    #: moves and amounts of a source that weigh as much as the pooled scale of all sources
+    level_prior: float = 4.0
+    amount_prior: float = 120.0
     #: periods of the day that the season has, and the length of the day
     seasons: int = 26
     day: int = 23_400
@@ -66,6 +69,7 @@ def _feature_schema(source: str, segment: str, row: str, df: DataFrame, levels:
             T.StructField("impossible", T.BooleanType()),
             *[x for i in range(len(levels)) for x in (T.StructField(f"gap{i}", T.FloatType()), T.StructField(f"move{i}", T.FloatType()), T.StructField(f"run{i}", T.IntegerType()))],
             T.StructField("amount", T.FloatType()),
+            T.StructField("idle", T.BooleanType()),
             T.StructField("arun", T.IntegerType()),
         ]
     )
@@ -166,6 +170,7 @@ def _features(source: str, segment: str, time: str, row: str, levels: list[str],
         run = _runs(np.nan_to_num(value), value > 0, g)
         with np.errstate(divide="ignore", invalid="ignore"):
             out["amount"] = np.where(there & (x > 0), np.log(x), np.nan).astype(np.float32)
+        out["idle"] = there & (x == 0)
         out["arun"] = np.where(there & (x > 0), run[bar], 0).astype(np.int32)
         out["bin"] = np.clip((second - 1) * p.seasons // p.day, 0, p.seasons - 1).astype(np.int8)
         out["first"], out["impossible"] = fresh, impossible
@@ -223,17 +228,19 @@ def esd_limit(n: Column, rank: Column, alpha: float) -> Column:
     return F.element_at(table, (F.floor(F.log(m) / F.lit(step)) + 1).cast("int"))
 
 
-def _cutoffs(scored: DataFrame, score: str, sizes: DataFrame, tail: float, least: float, p: Limits) -> DataFrame:
-    """The least flagged score of each source, as (source, cut): ranks come from counts in buckets of the score.
+def _cutoffs(scored: DataFrame, tests: list[tuple[str, float, float]], p: Limits) -> DataFrame:
+    """The least flagged score of each source and test, (source, cut_<score>...): ranks come from counts in buckets of the score.
 
-    Only scores above ``least`` count; there are at most a few thousand buckets a source, whatever its size.
+    Only scores above the test's least count; there are at most a few thousand buckets a source, whatever its size.
     """
-    high = scored.filter(F.col(score) >= least).withColumn("b", F.floor(F.log(F.col(score)) / F.lit(math.log1p(p.width))).cast("int"))
-    counts = high.groupBy("source", "b").agg(F.count("*").alias("c"), F.min(score).alias("low"))
-    w = Window.partitionBy("source").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("rank", F.sum("c").over(w)).join(sizes, "source")
-    limit = F.greatest(F.lit(least), tail * esd_limit(F.col("n"), F.col("rank"), p.alpha))
-    return counts.filter(F.col("low") > limit).groupBy("source").agg(F.min("low").alias("cut"))
+    each = F.array(*[F.struct(F.lit(i).alias("test"), F.col(z).alias("z"), F.lit(tail).alias("tail"), F.lit(least).alias("least")) for i, (z, tail, least) in enumerate(tests)])
+    high = scored.select("source", "n", F.explode(each).alias("e")).select("source", "n", "e.*").filter("z >= least")
+    high = high.withColumn("b", F.floor(F.log("z") / F.lit(math.log1p(p.width))).cast("int"))
+    counts = high.groupBy("source", "test", "b").agg(F.count("*").alias("c"), F.min("z").alias("low"), F.max("n").alias("n"), F.max("tail").alias("tail"))
+    w = Window.partitionBy("source", "test").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("rank", F.sum("c").over(w))
+    passed = counts.filter(F.col("low") > F.col("tail") * esd_limit(F.col("n"), F.col("rank"), p.alpha))
+    return passed.groupBy("source").agg(*[F.min(F.when(F.col("test") == i, F.col("low"))).alias(f"cut_{z}") for i, (z, *_) in enumerate(tests)])
 
 
 def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, levels: list[str], amount: str, limits: Limits = Limits()) -> DataFrame:
@@ -265,17 +272,18 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
         F.percentile_approx("amount", 0.5, 500).alias("mid"),
         F.count("amount").alias("amounts"),
         F.count_if(F.col("arun") > 1).alias("same_amounts"),
+        (F.count_if("idle") > F.lit(p.idle) * F.count("*")).alias("quiet"),
     )
     stats = materialize(stats, "sources")
     pooled = stats.agg(*[F.percentile_approx(f"step{i}", 0.5, 500).alias(f"s{i}") for i in range(k)]).first()
     for i in range(k):
         own, pool = F.col(f"step{i}"), F.lit(float(pooled[f"s{i}"] or 0.001))
         # in logarithms: few moves lean on the pool
-        share = F.col(f"moves{i}") / (F.col(f"moves{i}") + F.lit(p.prior))
+        share = F.col(f"moves{i}") / (F.col(f"moves{i}") + F.lit(p.level_prior))
         stats = stats.withColumn(f"scale{i}", F.coalesce(F.exp(share * F.log(own) + (1 - share) * F.log(pool)), pool) * 1.4826)
         stats = stats.withColumn(f"repeats{i}", _repeats(F.col(f"steps{i}") - F.col(f"moves{i}"), F.col(f"steps{i}"), F.col(f"longest{i}") - 1))
     stats = stats.withColumn("repeats", _repeats(F.col("same_amounts"), F.col("amounts"), F.col("longest") - 1))
-    stats = materialize(stats.select("source", "n", "mid", "amounts", "repeats", *[x for i in range(k) for x in (f"scale{i}", f"repeats{i}")]), "scales")
+    stats = materialize(stats.select("source", "n", "mid", "quiet", "repeats", *[x for i in range(k) for x in (f"scale{i}", f"repeats{i}")]), "scales")
 
     # amounts: the season is the median profile of all sources around their own medians, then each source's spread about it
     about = join_dimension(feats.select("source", "rid", "bin", "first", "amount").filter("amount is not null"), stats.select("source", "mid"), ["source"], "inner").withColumn("r", F.col("amount") - F.col("mid"))
@@ -286,7 +294,7 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     spread = about.filter("first").groupBy("source").agg(F.percentile_approx(F.abs("r"), 0.5, 500).alias("mad"), F.count("*").alias("rs"))
     spread = materialize(spread, "spread")
     pool = float(spread.agg(F.percentile_approx("mad", 0.5, 500)).first()[0] or 0.35)
-    lean = F.col("rs") / (F.col("rs") + F.lit(10 * p.prior))
+    lean = F.col("rs") / (F.col("rs") + F.lit(p.amount_prior))
     spread = spread.select("source", (1.4826 * F.greatest(lean * F.col("mad") + (1 - lean) * F.lit(pool), F.lit(0.1))).alias("spread"))
 
     whole = join_dimension(feats, stats.join(spread, "source", "left"), ["source"], "inner")
@@ -305,12 +313,10 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     for i in range(k):
         may |= F.coalesce(f"z{i}", F.lit(0.0)) >= p.level_least
     scored = materialize(scored.filter(may), "scored")
-    sizes = scored.select("source", "n").distinct()
-    flagged = scored
+    tests = [*[(f"z{i}", p.level_tail, p.level_least) for i in range(k)], ("za", p.amount_tail, p.amount_least)]
+    flagged = join_dimension(scored, materialize(_cutoffs(scored.filter("first"), tests, p), "cutoffs"), ["source"], "left")
     spike = F.lit(False)
-    for z, tail, least in [*[(f"z{i}", p.level_tail, p.level_least) for i in range(k)], ("za", p.amount_tail, p.amount_least)]:
-        cut = _cutoffs(scored.filter("first"), z, sizes, tail, least, p).withColumnRenamed("cut", f"cut_{z}")
-        flagged = join_dimension(flagged, cut, ["source"], "left")
+    for z, *_ in tests:
         spike |= F.coalesce(F.col(z) >= F.col(f"cut_{z}"), F.lit(False))
     return flagged.select(F.col("rid").alias(row), "impossible", spike.alias("spike"), "stuck").filter("impossible or spike or stuck")
 
@@ -329,5 +335,5 @@ def _stuck(runs: list[tuple[str, str]], p: Limits) -> Column:
     for run, repeats in runs:
         q = F.greatest(F.col(repeats), F.lit(0.005))
         usual = 1 + F.log(F.greatest(F.col("n"), F.lit(2)).cast("double")) / -F.log(q)
-        any_run |= (F.col(run) >= F.greatest(F.lit(float(p.stuck_bars)), p.stuck_times * usual)) & (F.col(repeats) <= p.stuck_repeats)
+        any_run |= (F.col(run) >= F.greatest(F.lit(float(p.stuck_bars)), p.stuck_times * usual)) & (F.col(repeats) <= p.stuck_repeats) & ~F.col("quiet")
     return F.coalesce(any_run, F.lit(False))
