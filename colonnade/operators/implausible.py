@@ -333,7 +333,7 @@ def _stuck(runs: list[tuple[str, str]], p: Limits) -> Column:
     """
     any_run = F.lit(False)
     for run, repeats in runs:
-        q = F.greatest(F.col(repeats), F.lit(0.005))
+        q = F.least(F.greatest(F.col(repeats), F.lit(0.005)), F.lit(0.95))
         usual = 1 + F.log(F.greatest(F.col("n"), F.lit(2)).cast("double")) / -F.log(q)
         any_run |= (F.col(run) >= F.greatest(F.lit(float(p.stuck_bars)), p.stuck_times * usual)) & (F.col(repeats) <= p.stuck_repeats) & ~F.col("quiet")
     return F.coalesce(any_run, F.lit(False))
