@@ -18,7 +18,7 @@ def _binned(df: DataFrame, groups: list[str], order: list[str], size: int) -> Da
     """Adds __bin: bins of ``size`` consecutive rows of a group, from positions of a range-partitioned sort, however large the group."""
     if size < 1:
         raise ValueError("a bin holds at least one row")
-    at = ranked(df, groups, [F.col(f"`{c}`") for c in order], "__at")
+    at = ranked(df, groups, [(c, False) for c in order], "__at")
     return at.withColumn("__bin", F.floor((F.col("__at") - 1) / F.lit(size)))
 
 

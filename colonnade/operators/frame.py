@@ -38,7 +38,7 @@ def id_column(df: DataFrame, name: str, order: str) -> DataFrame:
     """Adds row numbers from 0 under ``order`` by a range-partitioned sort, not by one task."""
     if name in df.columns:
         raise ValueError(f"there is a column {name}")
-    numbered = ranked(df.withColumn("__all", F.lit(0)), ["__all"], [F.col(f"`{order}`")], "__at")
+    numbered = ranked(df.withColumn("__all", F.lit(0)), ["__all"], [(order, False)], "__at")
     return schema.annotate(numbered.drop("__all").withColumn(name, (F.col("__at") - 1).cast("int")).drop("__at"), name, row_id=True)
 
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -94,41 +94,49 @@ def _local_positions(groups: list[str], keep: int | None, schema: pa.Schema):
     return run
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[Column], position: str = "position", keep: int | None = None) -> DataFrame:
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it as long as there is such a column."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def ranked(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], position: str = "position", keep: int | None = None) -> DataFrame:
     """Adds the exact position (from 1) of each row in its group under ``order``; with ``keep`` only positions up to it.
 
-    One range-partitioned sort on (groups, order) splits even a group that holds most rows over many tasks. Each task counts
-    its part of every group; a prefix sum of these counts, at most partitions x (keep or 1) rows a group, turns positions in
-    the part into positions in the group. ``order`` must be total for a repeatable result. Null group keys form one group.
-    An empty input gives an empty result. Floating group keys are not allowed.
+    ``order`` is a list of (column, descending). One range-partitioned sort on (groups, order) splits even a group that holds
+    most rows over many tasks. Each task counts its part of every group; a prefix sum of these counts, at most partitions x
+    (keep or 1) rows a group, turns positions in the part into positions in the group. ``order`` must be total for a
+    repeatable result. Nulls come first ascending, last descending. Null group keys form one group. An empty input gives an
+    empty result. Group keys can't be floating. A clash of ``position`` with a column adds underscores to it.
     """
     spark = df.sparkSession
-    taken = {PART, POS, COUNT} & set(df.columns)
-    if taken or position in df.columns:
-        raise ValueError(f"columns clash: {sorted(taken | ({position} & set(df.columns)))}")
-    named = {f.name: f.dataType for f in df.schema}
-    if any(isinstance(named[g], (T.FloatType, T.DoubleType)) for g in groups):
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    if any(isinstance(df.schema[g].dataType, (T.FloatType, T.DoubleType)) for g in groups):
         raise ValueError("group keys can't be floating")
-    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in df.schema], T.StructField(PART, T.IntegerType()), T.StructField(POS, T.LongType()), T.StructField(COUNT, T.LongType())])
-    by = [*[F.col(f"`{g}`") for g in groups], *order]
-    local = df.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(_local_positions(groups, keep, to_arrow_schema(schema)), schema)
+    inner = df.select(*[F.col(f"`{c}`").alias(n) for c, n in place.items()])
+    keys = [place[g] for g in groups]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in inner.schema], T.StructField(PART, T.IntegerType()), T.StructField(POS, T.LongType()), T.StructField(COUNT, T.LongType())])
+    by = [*[F.col(k) for k in keys], *[F.col(place[c]).desc() if down else F.col(place[c]).asc() for c, down in order]]
+    local = inner.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(_local_positions(keys, keep, to_arrow_schema(schema)), schema)
+    back = [F.col(n).alias(c, metadata=df.schema[c].metadata) if df.schema[c].metadata else F.col(n).alias(c) for c, n in place.items()]
+    name = free_name(position, df.columns)
     if keep is None:  # rows stay where they are; only the counts move
         local = materialize(local, "positions")
-        counts = local.filter(F.col(POS) == 0).select(*groups, PART, COUNT)
-        before = counts.withColumn("__before", F.coalesce(F.sum(COUNT).over(Window.partitionBy(*groups).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(COUNT)
+        counts = local.filter(F.col(POS) == 0).select(*keys, PART, COUNT)
+        w = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
         # only groups that go on in a later part need an offset: at most one for each boundary between parts, hence broadcast
-        before = before.filter(F.col("__before") > 0)
-        renamed = before.select(*[F.col(f"`{g}`").alias(f"__g{i}") for i, g in enumerate(groups)], F.col(PART).alias("__p"), "__before")
-        rows = local.filter(F.col(POS) > 0)
-        on = F.col(PART) == F.col("__p")
-        for i, g in enumerate(groups):
-            on &= F.col(f"`{g}`").eqNullSafe(F.col(f"__g{i}"))
-        out = rows.join(F.broadcast(renamed), on, "left")
-        return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(POS) + F.coalesce("__before", F.lit(0))).alias(position))
-    w = Window.partitionBy(*groups).orderBy(PART).rangeBetween(Window.unboundedPreceding, -1)
-    out = local.withColumn("__before", F.coalesce(F.sum(COUNT).over(w), F.lit(0)))
-    at = F.col(POS) + F.col("__before")
-    return out.filter((F.col(POS) > 0) & (at <= keep)).select(*[F.col(f"`{c}`") for c in df.columns], at.alias(position))
+        before = counts.withColumn("before", F.coalesce(F.sum(COUNT).over(w), F.lit(0))).filter("before > 0")
+        renamed = before.select(*[F.col(k).alias(f"g{i}") for i, k in enumerate(keys)], F.col(PART).alias("p"), "before")
+        on = F.col(PART) == F.col("p")
+        for i, k in enumerate(keys):
+            on &= F.col(k).eqNullSafe(F.col(f"g{i}"))
+        out = local.filter(F.col(POS) > 0).join(F.broadcast(renamed), on, "left")
+        return out.select(*back, (F.col(POS) + F.coalesce("before", F.lit(0))).alias(name))
+    w = Window.partitionBy(*keys).orderBy(PART).rangeBetween(Window.unboundedPreceding, -1)
+    out = local.withColumn("before", F.coalesce(F.sum(COUNT).over(w), F.lit(0)))
+    at = F.col(POS) + F.col("before")
+    return out.filter((F.col(POS) > 0) & (at <= keep)).select(*back, at.alias(name))
 
 
 def top_n_per_group(df: DataFrame, group: str, score: str, identifier: str, n: int, position: str = "position") -> DataFrame:
@@ -143,4 +151,4 @@ def top_n_per_group(df: DataFrame, group: str, score: str, identifier: str, n: i
     usable = F.col(f"`{group}`").isNotNull() & s.isNotNull()
     if isinstance(df.schema[score].dataType, (T.FloatType, T.DoubleType)):
         usable &= ~F.isnan(s)
-    return ranked(df.filter(usable), [group], [s.desc(), F.col(f"`{identifier}`").asc()], position, keep=n)
+    return ranked(df.filter(usable), [group], [(score, True), (identifier, False)], position, keep=n)

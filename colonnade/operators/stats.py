@@ -105,7 +105,7 @@ def quantiles(df: DataFrame, column: str, where: Column | None = None) -> DataFr
     rows = usable(selected(df, where), column).select(F.lit(0).alias("all"), v.alias("v"))
     ranks = quantile_ranks(rows.count())
     wanted = sorted({r for rs in ranks.values() for r in rs})
-    at = ranked(rows, ["all"], [F.col("v")], "at").filter(F.col("at").isin([r + 1 for r in wanted] or [0]))
+    at = ranked(rows, ["all"], [("v", False)], "at").filter(F.col("at").isin([r + 1 for r in wanted] or [0]))
     picks = [F.avg(F.when(F.col("at").isin([r + 1 for r in ranks[p]]), F.col("v"))).alias(f"p{p}") if p in ranks else F.lit(None).cast("double").alias(f"p{p}") for p in PERCENTILES]
     return at.agg(*picks)
 

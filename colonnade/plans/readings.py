@@ -32,7 +32,8 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Days are sketched first and added up, as summaries of separate days or files would be."""
     bars = table(spark, folder, "stock_quotes").filter("symbol is not null")
     days = sketch.sketch(bars, ["symbol", "trade_day"], ["binClose", "binVolume"])
-    return sketch.percentiles(sketch.merge(days, ["symbol"]), ["symbol"], LEVELS)
+    found = sketch.percentiles(sketch.merge(days, ["symbol"]), ["symbol"], LEVELS)
+    return found.select("symbol", "column", "n", *[F.round(f"p{p}", 4).alias(f"p{p}") for p in LEVELS])
 
 
 def grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +77,13 @@ _READINGS = f"""
 _G = sketch.gamma(sketch.ERROR)
 
 ORACLES = {
+    "p3_percentiles": f"""
+  WITH v AS (SELECT symbol, 'binClose' AS "column", CAST("binClose" AS DOUBLE) AS v FROM stock_quotes UNION ALL SELECT symbol, 'binVolume', CAST("binVolume" AS DOUBLE) FROM stock_quotes),
+  b AS (SELECT symbol, "column", sign(v) AS s, CASE WHEN v = 0 THEN 0 ELSE ceil(ln(abs(v)) / ln({_G!r}::DOUBLE)) END AS b FROM v WHERE symbol IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY symbol, "column" ORDER BY s, s * b) - 1 AS k, count(*) OVER (PARTITION BY symbol, "column") AS n FROM b),
+  x AS (SELECT *, s * exp(b * ln({_G!r}::DOUBLE)) * (2 / ({_G!r}::DOUBLE + 1)) AS e FROM r)
+  SELECT symbol, "column", n, {", ".join(f"round(max(e) FILTER (WHERE k = floor({p / 100}::DOUBLE * (n - 1))), 4) AS p{p}" for p in LEVELS)} FROM x GROUP BY symbol, "column", n
+""",
     "p2_found": """
   SELECT symbol, rid FROM (
     SELECT symbol, rid, row_number() OVER (PARTITION BY symbol ORDER BY "binVolume" DESC, rid) AS k
