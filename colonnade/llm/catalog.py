@@ -35,7 +35,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_share(spark: SparkSession, folder: str) -> DataFrame:
-    return share_by_source(find_truncated(table(spark, folder, "documents"), "doc_id", "source", "text"), "source")
+    return share_by_source(find_truncated(table(spark, folder, "documents"), "doc_id", "source", "text"))
 
 
 QUERIES = {f.__name__: f for f in (p6_containers, p7_found, p8_found, p8_share)}

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 @dataclass(frozen=True)
@@ -242,7 +243,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, i
     on either side gives no rows. Documents that repeat count each; rows with the same item_id are items of their own.
     """
     key, item_key = documents.schema[doc_id].dataType, items.schema[item_id].dataType
-    schema = T.StructType([T.StructField(doc_id, key), T.StructField(item_id, item_key), T.StructField("words", T.IntegerType())])
+    schema = T.StructType([T.StructField("doc_id", key), T.StructField("item_id", item_key), T.StructField("words", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
     slim = documents.select(doc_id, text)
     spark = documents.sparkSession
     out = None
@@ -259,7 +261,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, i
                     keys = part.column(0)
                     got = [x for x in index.leaks(part.column(1).to_pylist()) if x[2] >= p.words]
                     if got:
-                        yield pa.RecordBatch.from_arrays([keys.take(pa.array([x[0] for x in got])), pa.array([index.ids[x[1]] for x in got], keys.type if item_key == key else None), pa.array([x[2] for x in got], pa.int32())], names=[doc_id, item_id, "words"])
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array([x[0] for x in got])).cast(arrow.field(0).type), pa.array([index.ids[x[1]] for x in got], arrow.field(1).type), pa.array([x[2] for x in got], pa.int32())], schema=arrow)
 
         return slim.mapInArrow(run, schema)
 

@@ -97,11 +97,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def _sizes(doc_id: str, tokenizer: str):
+def _sizes(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], names=[doc_id, "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "tokens"])
 
     return run
 
@@ -121,7 +121,8 @@ def counter(path: str):
 
 def token_counts(documents: DataFrame, doc_id: str, text: str, tokenizer: str) -> DataFrame:
     """(doc_id, tokens): null and empty texts have 0."""
-    return documents.select(doc_id, text).mapInArrow(_sizes(doc_id, tokenizer), T.StructType([T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField("tokens", T.LongType())]))
+    schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("tokens", T.LongType())])
+    return documents.select(doc_id, text).mapInArrow(_sizes(tokenizer), schema)
 
 
 def pack(sized: DataFrame, doc_id: str, tokens: str, capacity: int = CAPACITY) -> DataFrame:
@@ -137,7 +138,7 @@ def pack(sized: DataFrame, doc_id: str, tokens: str, capacity: int = CAPACITY) -
     rows = sized.select(F.col(f"`{doc_id}`").alias("id"), F.greatest(F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / c) - 1, F.lit(0)).cast("int"))))
     items = pieces.select("id", "piece", (F.col("piece").cast("long") * c).alias("first_token"), F.least(F.col("n") - F.col("piece").cast("long") * c, c).cast("int").alias("size"))
-    placed = ranked(items, ["size"], [F.col("id"), F.col("piece")], "rank")
+    placed = ranked(items, ["size"], [("id", False), ("piece", False)], "rank")
     placed = materialize(placed, "items")
     counts = {r["size"]: r["c"] for r in placed.filter("size > 0").groupBy("size").agg(F.count("*").alias("c")).collect()}  # at most capacity rows
     steps = plan(counts, capacity)
@@ -146,4 +147,4 @@ def pack(sized: DataFrame, doc_id: str, tokens: str, capacity: int = CAPACITY) -
     # a few steps for each size: the table is bounded by the capacity, not by the items
     found = placed.join(F.broadcast(table), (placed["size"] == table["size"]) & (F.col("rank") >= F.col("a")) & (F.col("rank") <= F.col("z")), "left").drop(table["size"])
     container = F.coalesce(F.col("first") + F.expr("(rank - a) div per"), F.lit(0))
-    return found.select(F.col("id").alias(doc_id), "piece", "first_token", F.col("size").cast("long").alias("tokens"), container.alias("container"))
+    return found.select(F.col("id").alias("doc_id"), "piece", "first_token", F.col("size").cast("long").alias("tokens"), container.alias("container"))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,12 +145,12 @@ def count_words(texts: list[str | None], p: Rules = Rules()) -> tuple[Counter, C
     return pairs, ends, adverts
 
 
-def _tails(key: str, source: str, p: Rules):
+def _tails(p: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
             rows = [(*tail(t, p), len(t), len(t.encode("utf-8", "replace"))) if t and t.strip() else ("whole", "", "", "", False, 0, 0) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c)) if i < 5 else pa.array(list(c), pa.int32()) for i, c in enumerate(zip(*rows))]] if rows else [b.column(0), b.column(1), *[pa.array([], x) for x in (pa.string(),) * 4 + (pa.bool_(), pa.int32(), pa.int32())]], names=[key, source, *_SCHEMA.names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c)) if i < 5 else pa.array(list(c), pa.int32()) for i, c in enumerate(zip(*rows))]] if rows else [b.column(0), b.column(1), *[pa.array([], x) for x in (pa.string(),) * 4 + (pa.bool_(), pa.int32(), pa.int32())]], names=["doc_id", "source", *_SCHEMA.names])
 
     return run
 
@@ -182,8 +182,8 @@ def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p:
     empty table gives no rows. Word counts cover the whole corpus and are combined before they are shuffled.
     """
     slim = documents.select(doc_id, source, text)
-    fields = [T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField(source, documents.schema[source].dataType), *_SCHEMA.fields]
-    tails = materialize(slim.mapInArrow(_tails(doc_id, source, p), T.StructType(fields)), "tails")
+    fields = [T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("source", documents.schema[source].dataType), *_SCHEMA.fields]
+    tails = materialize(slim.mapInArrow(_tails(p), T.StructType(fields)), "tails")
     counted = documents.select(text).mapInArrow(_counts(p), "a string, b string, n long, e long, advert boolean")
     counts = materialize(counted.groupBy("a", "b", "advert").agg(F.sum("n").alias("n"), F.sum("e").alias("e")), "pairs")
 
@@ -199,13 +199,12 @@ def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p:
     two = asked_pairs.join(pairs.select("a", "b", F.col("n").alias("pn"), F.col("e").alias("pe")), ["a", "b"], "inner").withColumnRenamed("a", "before").withColumnRenamed("b", "final")
     adverts = open_.select("cue").distinct().join(counts.filter("advert and n >= 2").select(F.col("b").alias("cue"), F.lit(True).alias("seen")), "cue", "inner")
     titles = tails.filter("verdict = 'title' and closed").groupBy("cue").agg(F.count("*").alias("c")).filter(F.col("c") >= p.closing).select("cue", F.lit(True).alias("title"))
-    limits = _limits(tails, source, p)
+    limits = _limits(tails, p)
 
     out = tails
     for dimension, on in ((words, ["final"]), (two, ["before", "final"]), (adverts, ["cue"]), (titles, ["cue"])):
         out = join_dimension(out, materialize(dimension, "asked"), on, "left")
-    named = limits.select(F.col(source).alias("__s"), "max_chars", "max_bytes", "by_chars", "by_bytes")
-    out = out.join(F.broadcast(named), out[source].eqNullSafe(F.col("__s")), "left") if limits.count() <= 100_000 else out.join(named, out[source].eqNullSafe(F.col("__s")), "left")
+    out = join_dimension(out.withColumn("key", _key()), limits, ["key"], "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     at_limit = (no("by_chars") & (F.col("chars") > F.col("max_chars") - p.near)) | (no("by_bytes") & (F.col("bytes") > F.col("max_bytes") - p.near))
     at_limit = F.coalesce(at_limit, F.lit(False))
@@ -219,24 +218,29 @@ def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p:
         .when(F.col("verdict") == "pause", at_limit | fragment)
         .otherwise((at_limit | fragment | ~pair_ends) & ~F.col("closed"))
     )
-    return out.select(doc_id, source, F.coalesce(cut, F.lit(False)).alias("cut"))
+    return out.select("doc_id", "source", F.coalesce(cut, F.lit(False)).alias("cut"))
 
 
-def _limits(tails: DataFrame, source: str, p: Rules) -> DataFrame:
+def _key() -> Column:
+    """The source as a join key that null sources have too."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
+def _limits(tails: DataFrame, p: Rules) -> DataFrame:
     """Per source its greatest length in characters and bytes, and whether texts crowd there."""
-    top = tails.groupBy(source).agg(F.max("chars").alias("max_chars"), F.max("bytes").alias("max_bytes"))
-    top = top.select(F.col(source).alias("__t"), "max_chars", "max_bytes")
-    both = tails.select(source, "chars", "bytes").join(F.broadcast(top), F.col(source).eqNullSafe(F.col("__t")))
+    sized = tails.select(_key().alias("key"), "chars", "bytes")
+    top = materialize(sized.groupBy("key").agg(F.max("chars").alias("max_chars"), F.max("bytes").alias("max_bytes")), "longest")
+    both = join_dimension(sized, top, ["key"], "inner")
     counted = []
     for kind in ("chars", "bytes"):
         top_, here = F.col(f"max_{kind}"), F.col(kind)
         counted.append(F.count_if(here > top_ - p.near).alias(f"at_{kind}"))
         counted.append(F.count_if((here <= top_ - p.near) & (here > top_ - 11 * p.near)).alias(f"below_{kind}"))
-    seen = both.groupBy(source).agg(F.first("max_chars").alias("max_chars"), F.first("max_bytes").alias("max_bytes"), *counted)
+    seen = both.groupBy("key").agg(F.first("max_chars").alias("max_chars"), F.first("max_bytes").alias("max_bytes"), *counted)
     crowd = lambda k: (F.col(f"at_{k}") >= p.crowd) & (F.col(f"at_{k}") >= p.dense * F.col(f"below_{k}") / 10)
-    return materialize(seen.select(source, "max_chars", "max_bytes", crowd("chars").alias("by_chars"), crowd("bytes").alias("by_bytes")), "limits")
+    return materialize(seen.select("key", "max_chars", "max_bytes", crowd("chars").alias("by_chars"), crowd("bytes").alias("by_bytes")), "limits")
 
 
-def share_by_source(verdicts: DataFrame, source: str) -> DataFrame:
+def share_by_source(verdicts: DataFrame) -> DataFrame:
     """Per source the documents, those cut off, and their share."""
-    return verdicts.groupBy(source).agg(F.count("*").alias("documents"), F.count_if("cut").alias("cut"), F.avg(F.col("cut").cast("double")).alias("share"))
+    return verdicts.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("cut").alias("cut"), F.avg(F.col("cut").cast("double")).alias("share"))
