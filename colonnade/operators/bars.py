@@ -98,5 +98,6 @@ def bar_frame(spark, seconds, symbols, opens, lows, highs, closes, volumes) -> D
     if len({len(x) for x in lists}) > 1:
         raise ValueError("the lists differ in length")
     kinds = (T.IntegerType(), T.StringType(), *[T.FloatType()] * 4, T.LongType())
-    rows = [(i, *x) for i, x in enumerate(zip(*lists))]
+    real = lambda x: None if x is None else float(x)
+    rows = [(i, a, b, *map(real, prices), n) for i, (a, b, *prices, n) in enumerate(zip(*lists))]
     return spark.createDataFrame(rows, T.StructType([T.StructField("rid", T.LongType()), *[T.StructField(c, k) for c, k in zip(BAR_COLUMNS, kinds)]]))

@@ -45,10 +45,11 @@ def regular_grid(readings: DataFrame, source: str, segment: str, time: str, valu
             F.count("*").alias("n"), F.max("step").alias("step"), F.min(F.struct("t", (-F.col("tie")).alias("tie"), "v")).alias("a"), F.max(F.struct("t", "tie", "v")).alias("z")
         )
         cells = cells.select("s", "g", "period", "n", "step", F.col("a.t").alias("t1"), F.col("a.v").alias("v1"), F.col("z.t").alias("tz"), F.col("z.v").alias("vz"), F.lit(0).cast("long").alias("resets"))
-        cells = cells.withColumns({"p0": F.lag("period").over(w), "t0": F.lag("tz").over(w), "v0": F.lag("vz").over(w)})
+        cells = cells.withColumns({"p0": F.lag("period").over(w), "t0": F.lag("tz").over(w), "v0": F.lag("vz").over(w), "t2": F.lead("t1").over(w), "v2": F.lead("v1").over(w)})
         slope = (F.col("v1") - F.col("v0")) / (F.col("t1") - F.col("t0"))
         lead_in = slope * (F.col("t1") - F.greatest((F.col("period") - 1) * F.col("step"), F.col("t0")))
-        own = cells.select("s", "g", "period", "n", F.col("vz").alias("value"), (F.col("vz") - F.col("v1") + F.coalesce(lead_in, F.lit(0.0))).alias("increment"), "resets", F.lit(True).alias("covered"))
+        lead_out = (F.col("v2") - F.col("vz")) / (F.col("t2") - F.col("tz")) * (F.least(F.col("period") * F.col("step"), F.col("t2")) - F.col("tz"))
+        own = cells.select("s", "g", "period", "n", F.col("vz").alias("value"), (F.col("vz") - F.col("v1") + F.coalesce(lead_in, F.lit(0.0)) + F.coalesce(lead_out, F.lit(0.0))).alias("increment"), "resets", F.lit(True).alias("covered"))
         gap = cells.filter(F.col("period") > F.col("p0") + 1)
         gap = gap.withColumn("period", F.explode(F.sequence(F.col("p0") + 1, F.col("period") - 1)))
         end, begin = F.col("period") * F.col("step"), F.greatest((F.col("period") - 1) * F.col("step"), F.col("t0"))
