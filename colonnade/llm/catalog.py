@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colonnade.llm.leaks import find_leaks
 from colonnade.llm.packing import CAPACITY, pack, token_counts
 from colonnade.llm.truncation import find_truncated, share_by_source
+from colonnade.runtime import materialize
 from colonnade.sources.tables import table
 
 
@@ -22,7 +23,8 @@ def tokenizer() -> str:
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text", tokenizer())
+    # counted once: sorting by size samples its input before it reads it
+    sizes = materialize(token_counts(table(spark, folder, "documents"), "doc_id", "text", tokenizer()), "tokens")
     return pack(sizes, "doc_id", "tokens", CAPACITY)
 
 
