@@ -40,6 +40,9 @@ class Limits:
     #: least studentised residual of a case, whatever the size of the source
     level_least: float = 14.0
     amount_least: float = 5.2
+    #: a high amount is this many times the highest of the source's other amounts, which are looked for above ``amount_seen``
+    amount_gap: float = 3.5
+    amount_seen: float = 2.0
     #: neighbours on each side that make the trend
     neighbours: int = 5
     #: least number of bars in a stuck run, and its least multiple of the source's usual longest run
@@ -243,6 +246,16 @@ def _cutoffs(scored: DataFrame, tests: list[tuple[str, float, float]], p: Limits
     return passed.groupBy("source").agg(*[F.min(F.when(F.col("test") == i, F.col("low"))).alias(f"cut_{z}") for i, (z, *_) in enumerate(tests)])
 
 
+def _standing_out(flagged: DataFrame, p: Limits) -> DataFrame:
+    """(source, apart): the least amount beyond its limit with a gap below it, by buckets of the amount, few for each source."""
+    over = F.coalesce(F.col("za") >= F.col("cut_za"), F.lit(False))
+    seen = flagged.filter("za is not null").withColumn("b", F.floor(F.col("amount") / F.lit(math.log1p(p.width))).cast("int"))
+    buckets = seen.groupBy("source", "b").agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"), F.max(over).alias("over"))
+    below = F.lead("hi").over(Window.partitionBy("source").orderBy(F.col("b").desc()))
+    gap = F.coalesce(F.col("lo") - F.col("below") >= F.lit(math.log(p.amount_gap)), F.lit(True))
+    return buckets.withColumn("below", below).filter(F.col("over") & gap).groupBy("source").agg(F.min("lo").alias("apart"))
+
+
 def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, levels: list[str], amount: str, limits: Limits = Limits()) -> DataFrame:
     """Rows that hold an implausible reading: (row, impossible, spike, stuck).
 
@@ -304,20 +317,22 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
         "first",
         "impossible",
         "n",
+        "amount",
         *[(F.col(f"gap{i}") / F.col(f"scale{i}")).alias(f"z{i}") for i in range(k)],
         ((F.col("amount") - F.col("mid") - seasonal) / F.col("spread")).alias("za"),
         _stuck([(f"run{i}", f"repeats{i}") for i in range(k)] + [("arun", "repeats")], p).alias("stuck"),
     )
-    # only rows that any check may flag go on; ranks need no more, as they count scores above the least limit
-    may = F.col("impossible") | F.col("stuck") | (F.coalesce("za", F.lit(0.0)) >= p.amount_least)
+    # only rows that any check may flag go on, and the higher of the other amounts; ranks count scores above the least limit
+    may = F.col("impossible") | F.col("stuck") | (F.coalesce("za", F.lit(0.0)) >= p.amount_seen)
     for i in range(k):
         may |= F.coalesce(f"z{i}", F.lit(0.0)) >= p.level_least
     scored = materialize(scored.filter(may), "scored")
     tests = [*[(f"z{i}", p.level_tail, p.level_least) for i in range(k)], ("za", p.amount_tail, p.amount_least)]
     flagged = join_dimension(scored, materialize(_cutoffs(scored.filter("first"), tests, p), "cutoffs"), ["source"], "left")
-    spike = F.lit(False)
-    for z, *_ in tests:
-        spike |= F.coalesce(F.col(z) >= F.col(f"cut_{z}"), F.lit(False))
+    flagged = join_dimension(flagged, materialize(_standing_out(flagged.filter("first"), p), "apart"), ["source"], "left")
+    spike = F.coalesce((F.col("za") >= F.col("cut_za")) & (F.col("amount") >= F.col("apart")), F.lit(False))
+    for i in range(k):
+        spike |= F.coalesce(F.col(f"z{i}") >= F.col(f"cut_z{i}"), F.lit(False))
     return flagged.select(F.col("rid").alias(row), "impossible", spike.alias("spike"), "stuck").filter("impossible or spike or stuck")
 
 
