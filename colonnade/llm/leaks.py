@@ -27,9 +27,10 @@ class Tiling:
 
     seed: int = 4
     words: int = 12
-    #: words in a row that differ, and how alike their letters must be to count as the words they stand for
+    #: words in a row that differ, and how alike their letters must be to count as the words they stand for; a word that
+    #: occurs in the items is itself and stands for no other
     differ: int = 2
-    alike: float = 0.6
+    alike: float = 0.75
     #: items of one block; any number of blocks may follow one another
     block: int = 20_000
 
@@ -179,25 +180,30 @@ class Items:
                     break
                 if 0 <= gi <= p.differ and gd >= 0 and (gi or gd):
                     x, y = b"".join(name(j) for j in range(z, q2)), b"".join(raw[dz:d2])
-                    if x and y and SequenceMatcher(None, x, y, False).ratio() >= p.alike:
+                    damaged = len(y) >= 3 and not doc[dz:d2].all() and SequenceMatcher(None, x, y, False).ratio() >= p.alike
+                    if x == y or damaged:
                         z, dz = q2 + n2, d2 + n2
                         used.add(t)
                 elif gi == 0 and gd == 0:
                     z, dz = q2 + n2, d2 + n2
                     used.add(t)
             # a damaged word at either end, then seedless words beyond it
-            a, z = self._grow(raw, i, a, z, d, dz)
+            a, z = self._grow(doc, raw, i, a, z, d, dz)
             lo, hi = int(at[a]), int(at[z - 1])
             best = max(best, hi - lo + 1)
         return best
 
-    def _grow(self, raw: list[bytes], i: int, a: int, z: int, d: int, dz: int) -> tuple[int, int]:
+    def _grow(self, doc: np.ndarray, raw: list[bytes], i: int, a: int, z: int, d: int, dz: int) -> tuple[int, int]:
         item, p = self.words[i], self.p
         name = lambda q: self.names[int(item[q])]
-        same = lambda x, y: x == y or (min(len(x), len(y)) >= 3 and SequenceMatcher(None, x, y, False).ratio() >= 0.75)
-        while a > 0 and d > 0 and same(name(a - 1), raw[d - 1]):
+
+        def same(q: int, k: int) -> bool:
+            x, y = name(q), raw[k]
+            return x == y or (not doc[k] and min(len(x), len(y)) >= 3 and SequenceMatcher(None, x, y, False).ratio() >= p.alike)
+
+        while a > 0 and d > 0 and same(a - 1, d - 1):
             a, d = a - 1, d - 1
-        while z < len(item) and dz < len(raw) and same(name(z), raw[dz]):
+        while z < len(item) and dz < len(raw) and same(z, dz):
             z, dz = z + 1, dz + 1
         return a, z
 
