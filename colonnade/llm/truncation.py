@@ -64,6 +64,15 @@ _SCHEMA = T.StructType(
 )
 
 
+#: a letter lost in recoding
+_LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
+
+
+def _split(text: str) -> list[str]:
+    """Words in lower case, sentence ends as words of their own."""
+    return _LOST.sub("\ufffd", text.lower()).translate(_WORDS).split()
+
+
 def _plain(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
@@ -89,10 +98,10 @@ def tail(text: str, p: Rules = Rules()) -> tuple[str, str, str, str, bool]:
         cue = body[at[-1].end() :].strip()
     bare = _TAG.sub("", cue).strip()
     flat = " ".join(bare.split())
-    words = bare.lower().translate(_WORDS).split()
+    words = _split(bare)
     spoken = [w for w in words if w != "."]
     if len(spoken) < 2 and at:
-        earlier = _TAG.sub("", body[at[-2].end() : at[-1].start()] if len(at) > 1 else "").lower().translate(_WORDS).split()
+        earlier = _split(_TAG.sub("", body[at[-2].end() : at[-1].start()] if len(at) > 1 else ""))
         spoken = [w for w in earlier[-1:] if w != "."] + spoken
     final, before = spoken[-1] if spoken else "", spoken[-2] if len(spoken) > 1 else ""
     opened = len(re.findall(r"<[il1]>", cue)) - cue.count("</i>")
@@ -133,7 +142,7 @@ def count_words(texts: list[str | None], p: Rules = Rules()) -> tuple[Counter, C
             if _ADDRESS.search(c) or (" by " in c and _CREDIT.search(c.strip())):
                 adverts[" ".join(_TAG.sub("", c).split())] += 1
         t = "\n".join(cues)
-        w = (_TAG.sub("", t) if "<" in t else t).lower().translate(_WORDS).split()
+        w = _split(_TAG.sub("", t) if "<" in t else t)
         while w and w[-1] == ".":
             w.pop()
         if len(w) < 3 or w.count(".") < p.unpunctuated * len(w):
@@ -198,7 +207,7 @@ def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p:
     words = finals.join(known.withColumnRenamed("n", "wn").withColumnRenamed("e", "we"), "b", "left").join(nodes, "b", "left").withColumnRenamed("b", "final")
     two = asked_pairs.join(pairs.select("a", "b", F.col("n").alias("pn"), F.col("e").alias("pe")), ["a", "b"], "inner").withColumnRenamed("a", "before").withColumnRenamed("b", "final")
     adverts = open_.select("cue").distinct().join(counts.filter("advert and n >= 2").select(F.col("b").alias("cue"), F.lit(True).alias("seen")), "cue", "inner")
-    titles = tails.filter("verdict = 'title' and closed").groupBy("cue").agg(F.count("*").alias("c")).filter(F.col("c") >= p.closing).select("cue", F.lit(True).alias("title"))
+    titles = tails.filter("verdict in ('title', 'words') and closed").groupBy("cue").agg(F.count("*").alias("c")).filter(F.col("c") >= p.closing).select("cue", F.lit(True).alias("title"))
     limits = _limits(tails, p)
 
     out = tails
@@ -210,13 +219,16 @@ def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p:
     at_limit = F.coalesce(at_limit, F.lit(False))
     fragment = F.col("wn").isNull() & no("inner")
     pair_ends = F.when(F.col("pn") >= p.pairs, F.col("pe") >= p.ends * F.col("pn")).otherwise(F.coalesce(F.col("we") >= p.ends * F.col("wn"), F.lit(True)))
+    # behind a line end only words that plainly never end a sentence tell
+    never = F.coalesce((F.col("pn") >= p.pairs) & (F.col("pe") == 0) & (F.col("we") < p.ends * F.col("wn")), F.lit(False))
     cut = (
         F.when(F.col("verdict") == "cut", F.lit(True))
         .when(F.col("verdict") == "whole", F.lit(False))
         .when(F.col("verdict") == "advert", ~no("seen") & ~F.col("closed"))
         .when(F.col("verdict") == "title", ~no("title"))
         .when(F.col("verdict") == "pause", at_limit | fragment)
-        .otherwise((at_limit | fragment | ~pair_ends) & ~F.col("closed"))
+        .when(no("title"), F.lit(False))
+        .otherwise(F.when(F.col("closed"), never).otherwise(at_limit | fragment | ~pair_ends))
     )
     return out.select("doc_id", "source", F.coalesce(cut, F.lit(False)).alias("cut"))
 
