@@ -1 +1,6 @@
+"""Column functions of the engine: conversions between text, booleans and numbers, and the buckets of the percentile sketch."""
 
+from colonnade.operators.sketch import bucket_of, sign_of, value_of
+from colonnade.schema import convert, logical_to_number, parse_double, parse_long
+
+__all__ = ["bucket_of", "convert", "logical_to_number", "parse_double", "parse_long", "sign_of", "value_of"]

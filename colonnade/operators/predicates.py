@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from colonnade import schema
 from colonnade.operators.stats import resolution_of
-from colonnade.runtime import BROADCAST_ROWS
+from colonnade.runtime import small
 
 
 def _guarded(df: DataFrame, name: str, p: Column) -> Column:
@@ -267,7 +267,7 @@ def select(df: DataFrame, *terms: Predicate) -> DataFrame:
 def member_of(df: DataFrame, name: str, values: DataFrame, column: str) -> DataFrame:
     """Membership in a set too large for literals: a semi-join, with the set broadcast only up to a counted size."""
     keys = values.select(F.col(f"`{column}`").alias(name)).distinct()
-    return df.join(F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys, name, "left_semi")
+    return df.join(F.broadcast(keys) if small(keys) else keys, name, "left_semi")
 
 
 def at_most(name: str, limit: Any, resolution: float | None = None) -> Predicate:

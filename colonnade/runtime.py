@@ -9,9 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a dimension may be broadcast. At the column widths used here this stays below about 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: A dimension is broadcast up to so many rows and so many bytes of text; with the few number columns used here it is then below 64 MB.
+BROADCAST_ROWS, BROADCAST_TEXT = 200_000, 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,18 +43,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_dimension(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "left", salts: int = 32, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins a dimension (one row per key) to a possibly skewed fact table.
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame may be broadcast, by counting at most ``most`` + 1 of its rows and their text."""
+    text = [F.sum(F.coalesce(F.length(f"`{f.name}`"), F.lit(0))) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    rows, *lengths = df.limit(most + 1).agg(F.count("*"), *text).first()
+    return rows <= most and sum(x or 0 for x in lengths) <= BROADCAST_TEXT
 
-    The dimension is counted first. Up to ``most`` rows it is broadcast; beyond, its rows are copied once per salt and the
-    facts carry a salt of their row's hash, so that no key of the facts ends in one task. Either way loses no row.
-    Null keys match nothing.
+
+def join_dimension(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins a dimension (one row per key) to a possibly skewed fact table; no row of the facts is lost, null keys match nothing.
+
+    A dimension of counted small size is broadcast. Beyond, the facts' keys are counted (combined before the shuffle): those
+    that hold more than a quarter of a task's share of rows, at most 4 x partitions keys, get their dimension rows by
+    broadcast, and only the rest of the facts is shuffled.
     """
     if how not in ("left", "inner"):
         raise ValueError("how is left or inner")
-    if dimension.limit(most + 1).count() <= most:
+    if small(dimension, most):
         return facts.join(F.broadcast(dimension), on, how)
-    salt = "__salt"
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
-    many = dimension.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn(salt, spread).join(many, [*on, salt], how).drop(salt)
+    parts = partitions(facts.sparkSession)
+    keys = facts.groupBy(*on).agg(F.count("*").alias("__n"))
+    limit = max(facts.count() // (4 * parts), 1)
+    heavy = facts.sparkSession.createDataFrame(keys.filter(F.col("__n") > limit).drop("__n").collect(), facts.select(*on).schema)
+    known = heavy.withColumn("__heavy", F.lit(True))
+    marked = facts.join(F.broadcast(known), on, "left")
+    is_heavy = F.col("__heavy").isNotNull()
+    hot = marked.filter(is_heavy).drop("__heavy").join(F.broadcast(dimension.join(F.broadcast(heavy), on, "left_semi")), on, how)
+    return hot.unionByName(marked.filter(~is_heavy).drop("__heavy").join(dimension, on, how))

@@ -130,7 +130,7 @@ def test_summary_of_heavy_keys(spark):
     assert per_key_summary(df.limit(0), "symbol", ["t", "rid"], "v", "c").count() == 0
 
 
-def test_join_to_a_large_dimension_is_salted_and_whole(spark):
+def test_join_to_a_large_dimension_is_split_and_whole(spark):
     facts = spark.range(1000).select(F.when(F.col("id") % 10 < 7, 1).when(F.col("id") % 10 == 9, None).otherwise(F.col("id")).cast("long").alias("k"), "id")
     dim = spark.range(0, 500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
     for how in ("left", "inner"):
