@@ -514,3 +514,65 @@ def filtered_stats(s, d):
     df = lineitem(s, d)
     terms = [Between("l_discount", 0.05, 0.07, resolution=R), Between("l_linenumber", 1, 3)]
     return rounded(stats.describe(df, "l_discount", reduce(lambda a, b: a & b, [t.column(df) for t in terms])), 4)
+
+
+@query('SELECT rid, "binNumber", name, "binMin", "binMax", "binCount", "binOpen", "binClose", "binMean", "binStdev", sum, "sumSquares" FROM olhc_bars')
+def bars_checked(s, d):
+    return bars.as_bars(table(s, d, "olhc_bars"), "rid")
+
+
+@query("SELECT CAST(i AS BIGINT) AS rid, CAST(i * 60 AS INTEGER) AS \"second\", 'X' AS symbol, i::FLOAT AS \"binOpen\", i::FLOAT AS \"binMin\", (i + 1)::FLOAT AS \"binMax\", (i + 1)::FLOAT AS \"binClose\", CAST(100 * i AS BIGINT) AS \"binVolume\" FROM range(0, 50) AS r(i)")
+def bar_frame(s, d):
+    n = range(50)
+    return bars.bar_frame(s, [60 * i for i in n], ["X"] * 50, n, n, [i + 1 for i in n], [i + 1 for i in n], [100 * i for i in n])
+
+
+@query("WITH x AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events) SELECT avg(v) AS p85 FROM x WHERE k = CAST(floor(n * 17 / 20.0::DOUBLE - 1 + 0.5) AS BIGINT)")
+def percentile_lookup(s, d):
+    return stats.percentile(stats.quantiles(events(s, d), "value"), 85)
+
+
+@query("SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS valid FROM customer")
+def factor_valid(s, d):
+    codes = factors.factor_of(s, ["BUILDING", "MACHINERY"])
+    return factors.is_valid(table(s, d, "customer"), "c_mktsegment", codes).select("c_custkey", "valid")
+
+
+@query("SELECT n_name FROM nation")
+def column_at(s, d):
+    return frame.column_at(table(s, d, "nation").select("n_nationkey", "n_name"), 1)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS event_id, value FROM events ORDER BY event_id LIMIT 25")
+def row_iteration(s, d):
+    """Rows read in order through the iterator."""
+    first = events(s, d).filter("event_id < 1000000")
+    rows = [r for _, r in zip(range(25), builders.rows(first, "event_id", ["event_id", "value"]))]
+    return s.createDataFrame([(i + 1, r["value"]) for i, r in enumerate(rows)], "event_id long, value double")
+
+
+@query("SELECT p_name FROM part")
+def csv_vector_roundtrip(s, d):
+    folder = tempfile.mkdtemp(prefix="colonnade-csv-")
+    export.export_vector(part(s, d).select("p_name"), "p_name", f"{folder}/names.csv")
+    return s.read.schema("p_name string").option("escape", '"').csv(f"{folder}/names.csv")
+
+
+@query("SELECT * FROM (VALUES ('customers.dataFrame.csv'), ('names.vector.csv'), ('scalars.csv')) AS t(file)")
+def namespace_csv(s, d):
+    folder = tempfile.mkdtemp(prefix="colonnade-csv-")
+    with Workspace(s, f"{folder}/space") as space:
+        customers = table(s, d, "customer")
+        space.spaces["temp"].assign_all({"customers": customers.select("c_custkey", "c_name", "c_nationkey"), "names": customers.select(F.col("c_custkey").alias("rid"), "c_name"), "one": builders.scalar(s, 1)})
+        written = export.export_namespace(space.spaces["temp"], f"{folder}/out")
+    return s.createDataFrame([(w,) for w in written], "file string")
+
+
+@query("SELECT 'nations: frame' AS line UNION ALL SELECT CONCAT('  n_nationkey int, ', count(*), ' rows, ', min(n_nationkey), ' to ', max(n_nationkey)) FROM nation")
+def store_report(s, d):
+    """The report on a store's persistent elements, without its samples."""
+    folder = tempfile.mkdtemp(prefix="colonnade-space-")
+    with Workspace(s, folder) as space:
+        space.assign("persistent.nations", table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+        lines = space.report().splitlines()[:2]
+    return s.createDataFrame([(line.partition(":")[0] if "rows" in line else line,) for line in lines], "line string")
