@@ -43,6 +43,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least as many partitions as cores, for costly steps on a small input that came as a few files; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether a frame may be broadcast, by counting at most ``most`` + 1 of its rows and their text."""
     text = [F.sum(F.coalesce(F.length(f"`{f.name}`"), F.lit(0))) for f in df.schema if isinstance(f.dataType, T.StringType)]
