@@ -23,7 +23,8 @@ def regular_grid(readings: DataFrame, source: str, segment: str, time: str, valu
     Columns: source, segment, period (int), n_readings, value, increment, resets, covered. ``covered`` is false for the
     periods without a reading, whose values are filled.
 
-    Rows that lack source, segment, time, value or a step above 0, or whose value is NaN or infinite, are no readings. Of
+    Rows that lack source, segment, time, value or a step above 0, or whose value is NaN, are no readings, nor are infinite
+    values of counters. Infinite levels are, but nothing is drawn from them: periods filled beside one have a null value. Of
     several readings at the same time the one with the highest ``tie`` holds. A segment is a bounded stretch of time, and
     readings of one time are folded before any ordering, so that no task holds more than a segment's length of times. A
     source with one reading in a segment has one row there. An empty table gives no rows.
@@ -34,7 +35,10 @@ def regular_grid(readings: DataFrame, source: str, segment: str, time: str, valu
         raise ValueError("tie must be a numeric column")
     c = lambda name: F.col(f"`{name}`")
     v = c(value).cast("double")
-    usable = c(source).isNotNull() & c(segment).isNotNull() & c(time).isNotNull() & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))) & (c(step) > 0) & (c(time) > 0)
+    usable = c(source).isNotNull() & c(segment).isNotNull() & c(time).isNotNull() & v.isNotNull() & ~F.isnan(v) & (c(step) > 0) & (c(time) > 0)
+    finite = lambda x: F.abs(x) < F.lit(float("inf"))
+    if kind == "counter":
+        usable &= finite(v)
     slim = readings.filter(usable).select(c(source).alias("s"), c(segment).alias("g"), c(time).cast("long").alias("t"), v.alias("v"), c(step).cast("long").alias("step"), c(tie).alias("tie"))
     slim = slim.withColumn("period", F.expr("int((t + step - 1) div step)"))
     order = F.struct("t", "tie")
@@ -46,10 +50,10 @@ def regular_grid(readings: DataFrame, source: str, segment: str, time: str, valu
         )
         cells = cells.select("s", "g", "period", "n", "step", F.col("a.t").alias("t1"), F.col("a.v").alias("v1"), F.col("z.t").alias("tz"), F.col("z.v").alias("vz"), F.lit(0).cast("long").alias("resets"))
         cells = cells.withColumns({"p0": F.lag("period").over(w), "t0": F.lag("tz").over(w), "v0": F.lag("vz").over(w), "t2": F.lead("t1").over(w), "v2": F.lead("v1").over(w)})
-        slope = (F.col("v1") - F.col("v0")) / (F.col("t1") - F.col("t0"))
+        slope = F.when(finite(F.col("v0")) & finite(F.col("v1")), (F.col("v1") - F.col("v0")) / (F.col("t1") - F.col("t0")))
         lead_in = slope * (F.col("t1") - F.greatest((F.col("period") - 1) * F.col("step"), F.col("t0")))
-        lead_out = (F.col("v2") - F.col("vz")) / (F.col("t2") - F.col("tz")) * (F.least(F.col("period") * F.col("step"), F.col("t2")) - F.col("tz"))
-        own = cells.select("s", "g", "period", "n", F.col("vz").alias("value"), (F.col("vz") - F.col("v1") + F.coalesce(lead_in, F.lit(0.0)) + F.coalesce(lead_out, F.lit(0.0))).alias("increment"), "resets", F.lit(True).alias("covered"))
+        lead_out = F.when(finite(F.col("v2")) & finite(F.col("vz")), (F.col("v2") - F.col("vz")) / (F.col("t2") - F.col("tz"))) * (F.least(F.col("period") * F.col("step"), F.col("t2")) - F.col("tz"))
+        own = cells.select("s", "g", "period", "n", F.col("vz").alias("value"), (F.when(finite(F.col("vz")) & finite(F.col("v1")), F.col("vz") - F.col("v1")).otherwise(F.lit(0.0)) + F.coalesce(lead_in, F.lit(0.0)) + F.coalesce(lead_out, F.lit(0.0))).alias("increment"), "resets", F.lit(True).alias("covered"))
         gap = cells.filter(F.col("period") > F.col("p0") + 1)
         gap = gap.withColumn("period", F.explode(F.sequence(F.col("p0") + 1, F.col("period") - 1)))
         end, begin = F.col("period") * F.col("step"), F.greatest((F.col("period") - 1) * F.col("step"), F.col("t0"))

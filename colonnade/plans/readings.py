@@ -71,7 +71,7 @@ _READINGS = f"""
   SELECT q.trade_day, q.symbol, q."second" AS t, q.rid, CAST(q."binClose" AS DOUBLE) AS v, CAST(s.grid_seconds AS BIGINT) AS step,
          CAST((q."second" + s.grid_seconds - 1) // s.grid_seconds AS INTEGER) AS period
   FROM stock_quotes q JOIN symbols s ON q.symbol = s.symbol
-  WHERE q."second" BETWEEN 1 AND {SESSION} AND q."binClose" IS NOT NULL AND NOT isnan(q."binClose") AND NOT isinf(q."binClose") AND s.grid_seconds > 0
+  WHERE q."second" BETWEEN 1 AND {SESSION} AND q."binClose" IS NOT NULL AND NOT isnan(q."binClose") AND s.grid_seconds > 0
 """
 
 _G = sketch.gamma(sketch.ERROR)
@@ -104,7 +104,7 @@ ORACLES = {
   g AS (SELECT *, unnest(generate_series(p0 + 1, period - 1)) AS p FROM l WHERE period > p0 + 1)
   SELECT trade_day, symbol, period, CAST(n AS BIGINT) AS n_readings, round(vz, 4) AS value, true AS covered FROM cell
   UNION ALL
-  SELECT trade_day, symbol, CAST(p AS INTEGER), CAST(0 AS BIGINT), round(v0 + (v1 - v0) / (t1 - t0) * (p * step - t0), 4), false FROM g
+  SELECT trade_day, symbol, CAST(p AS INTEGER), CAST(0 AS BIGINT), CASE WHEN NOT isinf(v0) AND NOT isinf(v1) THEN round(v0 + (v1 - v0) / (t1 - t0) * (p * step - t0), 4) END, false FROM g
 """,
     "p5_found": f"""
   SELECT symbol FROM stock_quotes WHERE symbol IS NOT NULL GROUP BY symbol

@@ -86,6 +86,14 @@ def test_grid_of_levels(spark):
     assert regular_grid(readings(spark, []), "src", "day", "t", "v", "step", "rid").count() == 0
 
 
+def test_an_infinite_level_is_a_reading_from_which_nothing_is_drawn(spark):
+    rows = [("a", 1, 1, 1.0, 1, 0, ""), ("a", 1, 3, float("inf"), 1, 1, ""), ("a", 1, 5, 5.0, 1, 2, ""), ("a", 1, 7, 7.0, 1, 3, "")]
+    g = regular_grid(readings(spark, rows), "src", "day", "t", "v", "step", "rid").orderBy("period").collect()
+    assert [r["value"] for r in g] == [1.0, None, float("inf"), None, 5.0, 6.0, 7.0] and [r["period"] for r in g if not r["covered"]] == [2, 4, 6]
+    counted = regular_grid(readings(spark, rows), "src", "day", "t", "v", "step", "rid", kind="counter")
+    assert counted.filter("period = 3").first()["covered"] is False
+
+
 def test_grid_of_counters_against_brute_force(spark):
     rng = random.Random(3)
     rows, total = [], 0.0
