@@ -40,7 +40,9 @@ class Limits:
     #: least studentised residual of a case, whatever the size of the source
     level_least: float = 14.0
     amount_least: float = 5.2
-    #: a high amount is this many times the highest of the source's other amounts, which are looked for above ``amount_seen``
+    #: below ``amount_sure`` a high amount must besides be this many times the highest of the source's other amounts, which
+    #: are looked for above ``amount_seen``
+    amount_sure: float = 6.2
     amount_gap: float = 3.5
     amount_seen: float = 2.0
     #: neighbours on each side that make the trend
@@ -330,7 +332,7 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     tests = [*[(f"z{i}", p.level_tail, p.level_least) for i in range(k)], ("za", p.amount_tail, p.amount_least)]
     flagged = join_dimension(scored, materialize(_cutoffs(scored.filter("first"), tests, p), "cutoffs"), ["source"], "left")
     flagged = join_dimension(flagged, materialize(_standing_out(flagged.filter("first"), p), "apart"), ["source"], "left")
-    spike = F.coalesce((F.col("za") >= F.col("cut_za")) & (F.col("amount") >= F.col("apart")), F.lit(False))
+    spike = F.coalesce((F.col("za") >= F.col("cut_za")) & ((F.col("za") >= p.amount_sure) | (F.col("amount") >= F.col("apart"))), F.lit(False))
     for i in range(k):
         spike |= F.coalesce(F.col(f"z{i}") >= F.col(f"cut_z{i}"), F.lit(False))
     return flagged.select(F.col("rid").alias(row), "impossible", spike.alias("spike"), "stuck").filter("impossible or spike or stuck")
