@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from colonnade.runtime import spread
+
 
 @dataclass(frozen=True)
 class Tiling:
@@ -251,7 +253,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, i
     key, item_key = documents.schema[doc_id].dataType, items.schema[item_id].dataType
     schema = T.StructType([T.StructField("doc_id", key), T.StructField("item_id", item_key), T.StructField("words", T.IntegerType())])
     arrow = to_arrow_schema(schema)
-    slim = documents.select(doc_id, text)
+    slim = spread(documents.select(doc_id, text))
     spark = documents.sparkSession
     out = None
     block: list[tuple] = []

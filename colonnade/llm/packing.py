@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.operators.positions import ranked
-from colonnade.runtime import materialize
+from colonnade.runtime import materialize, spread
 
 CAPACITY = 2048
 
@@ -122,7 +122,7 @@ def counter(path: str):
 def token_counts(documents: DataFrame, doc_id: str, text: str, tokenizer: str) -> DataFrame:
     """(doc_id, tokens): null and empty texts have 0."""
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("tokens", T.LongType())])
-    return documents.select(doc_id, text).mapInArrow(_sizes(tokenizer), schema)
+    return spread(documents.select(doc_id, text)).mapInArrow(_sizes(tokenizer), schema)
 
 
 def pack(sized: DataFrame, doc_id: str, tokens: str, capacity: int = CAPACITY) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.runtime import join_dimension, materialize
+from colonnade.runtime import join_dimension, materialize, spread
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,8 @@ _SENTENCE = re.compile(r"[.!?…](?=[\s\"'”’»<—]|$)")
 _CLOSERS = "\"'”’»“"
 _ENDS = ".!?"
 _OPEN = set(",;:-–+=&|/<([{¿¡$@_\\")
-_WORDS = str.maketrans({c: " " for c in "\"#$%&()*+,/:;<=>@[\\]^_`{|}~♪«»“”„\t\r\n"} | {c: " . " for c in ".!?…"})
+_BREAKS = bytes.maketrans(b"\"#$%&()*+,/:;<=>@[\\]^_`{|}~\t\r\n!?", b" " * 30 + b"..")
+_APART = [(c.encode(), b" ") for c in "♪«»“”„—–"] + [("…".encode(), b".")]
 _SCHEMA = T.StructType(
     [
         T.StructField("verdict", T.StringType()),
@@ -65,12 +66,16 @@ _SCHEMA = T.StructType(
 
 
 #: a letter lost in recoding
-_LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
+_LOST = re.compile(rb"(?<=[a-z\x80-\xff])\?(?=[a-z\x80-\xff])")
 
 
-def _split(text: str) -> list[str]:
+def _split(text: str) -> list[bytes]:
     """Words in lower case, sentence ends as words of their own."""
-    return _LOST.sub("\ufffd", text.lower()).translate(_WORDS).split()
+    b = text.lower().encode("utf-8", "replace")
+    if not b.isascii():
+        for mark, by in _APART:
+            b = b.replace(mark, by)
+    return _LOST.sub(b"\xef\xbf\xbd", b).translate(_BREAKS).replace(b".", b" . ").split()
 
 
 def _plain(text: str) -> str:
@@ -99,10 +104,10 @@ def tail(text: str, p: Rules = Rules()) -> tuple[str, str, str, str, bool]:
     bare = _TAG.sub("", cue).strip()
     flat = " ".join(bare.split())
     words = _split(bare)
-    spoken = [w for w in words if w != "."]
+    spoken = [w.decode("utf-8", "replace") for w in words if w != b"."]
     if len(spoken) < 2 and at:
         earlier = _split(_TAG.sub("", body[at[-2].end() : at[-1].start()] if len(at) > 1 else ""))
-        spoken = [w for w in earlier[-1:] if w != "."] + spoken
+        spoken = [w.decode("utf-8", "replace") for w in earlier[-1:] if w != b"."] + spoken
     final, before = spoken[-1] if spoken else "", spoken[-2] if len(spoken) > 1 else ""
     opened = len(re.findall(r"<[il1]>", cue)) - cue.count("</i>")
     last = bare[bare.rfind("\n") + 1 :].strip()
@@ -133,24 +138,27 @@ def tail(text: str, p: Rules = Rules()) -> tuple[str, str, str, str, bool]:
 
 def count_words(texts: list[str | None], p: Rules = Rules()) -> tuple[Counter, Counter, Counter]:
     """Pairs of words, pairs that end a sentence, and adverts as whole cues, over all of the texts but their last words."""
-    pairs, ends, adverts = Counter(), Counter(), Counter()
+    adverts: Counter = Counter()
+    every: list[bytes] = []
     for text in texts:
         if not text:
             continue
         cues = _TIME.split(_plain(text))
-        for c in cues[:-1]:
-            if _ADDRESS.search(c) or (" by " in c and _CREDIT.search(c.strip())):
-                adverts[" ".join(_TAG.sub("", c).split())] += 1
-        t = "\n".join(cues)
+        t = "\n".join(cues[:-1])
+        if _ADDRESS.search(t) or " by " in t:
+            for c in cues[:-1]:
+                if _ADDRESS.search(c) or (" by " in c and _CREDIT.search(c.strip())):
+                    adverts[" ".join(_TAG.sub("", c).split())] += 1
+        t = f"{t}\n{cues[-1]}"
         w = _split(_TAG.sub("", t) if "<" in t else t)
-        while w and w[-1] == ".":
+        while w and w[-1] == b".":
             w.pop()
-        if len(w) < 3 or w.count(".") < p.unpunctuated * len(w):
-            continue
-        w.pop()
-        both = Counter(zip(w, w[1:]))
-        pairs.update(both)
-        ends.update(x for x, y in zip(zip(w, w[1:]), w[2:]) if y == ".")
+        if len(w) >= 3 and w.count(b".") >= p.unpunctuated * len(w):
+            w[-1] = b""  # the last word is left out, and parts one text from the next
+            every += w
+    pairs = Counter(zip(every, every[1:]))
+    stops = [i for i, x in enumerate(every) if x == b"." and i > 1]
+    ends = Counter([(every[i - 2], every[i - 1]) for i in stops])
     return pairs, ends, adverts
 
 
@@ -167,8 +175,10 @@ def _tails(p: Rules):
 def _counts(p: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(pairs: Counter, ends: Counter, adverts: Counter) -> pa.RecordBatch:
-            a = [x[0] for x in pairs] + [""] * len(adverts)
-            b = [x[1] for x in pairs] + list(adverts)
+            for x in [x for x in pairs if not x[0] or not x[1] or x[1] == b"."]:
+                del pairs[x]
+            a = [x[0].decode("utf-8", "replace") for x in pairs] + [""] * len(adverts)
+            b = [x[1].decode("utf-8", "replace") for x in pairs] + list(adverts)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([*pairs.values(), *adverts.values()], pa.int64()), pa.array([ends.get(x, 0) for x in pairs] + [0] * len(adverts), pa.int64()), pa.array([False] * len(pairs) + [True] * len(adverts))], names=["a", "b", "n", "e", "advert"])
 
         total = (Counter(), Counter(), Counter())
@@ -190,15 +200,15 @@ def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p:
     Null, empty and blank texts are whole. Documents that repeat count each, and a null source is a source of its own. An
     empty table gives no rows. Word counts cover the whole corpus and are combined before they are shuffled.
     """
-    slim = documents.select(doc_id, source, text)
+    slim = spread(documents.select(doc_id, source, text))
     fields = [T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("source", documents.schema[source].dataType), *_SCHEMA.fields]
     tails = materialize(slim.mapInArrow(_tails(p), T.StructType(fields)), "tails")
-    counted = documents.select(text).mapInArrow(_counts(p), "a string, b string, n long, e long, advert boolean")
+    counted = spread(documents.select(text)).mapInArrow(_counts(p), "a string, b string, n long, e long, advert boolean")
     counts = materialize(counted.groupBy("a", "b", "advert").agg(F.sum("n").alias("n"), F.sum("e").alias("e")), "pairs")
 
     # what the undecided texts ask of the corpus: one row for each distinct last word, pair and cue
     open_ = tails.filter(~F.col("verdict").isin("cut", "whole"))
-    pairs = counts.filter(~F.col("advert") & (F.col("b") != "."))
+    pairs = counts.filter(~F.col("advert"))
     finals, asked_pairs = open_.select(F.col("final").alias("b")).distinct(), open_.select(F.col("before").alias("a"), F.col("final").alias("b")).distinct()
     vocabulary = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     known = vocabulary.filter(F.col("n") >= p.known)
