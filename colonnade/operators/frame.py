@@ -10,7 +10,7 @@ from colonnade.operators.positions import ranked
 
 
 def subset(df: DataFrame, where: Column) -> DataFrame:
-    return df.filter(F.coalesce(where, F.lit(False)))
+    return df.filter(where)
 
 
 def cardinality(df: DataFrame, where: Column) -> DataFrame:

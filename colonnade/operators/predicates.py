@@ -20,8 +20,9 @@ from colonnade.runtime import small
 
 
 def _guarded(df: DataFrame, name: str, p: Column) -> Column:
+    """False on nulls, as false AND null is false: plain conjuncts, which a scan can take over, where coalesce would stop it."""
     v = F.col(f"`{name}`")
-    return F.coalesce(p & ~F.isnan(v) if schema.is_real(df, name) else p, F.lit(False))
+    return v.isNotNull() & p & ~F.isnan(v) if schema.is_real(df, name) else v.isNotNull() & p
 
 
 def _number(x: Any, real: bool) -> str:
@@ -132,12 +133,12 @@ class Between(Predicate):
         lo, hi, real, right = self._bounds(df)
         v = F.col(f"`{self.name}`")
         r = (resolution_of(df, self.name, self.resolution) or 0.0) if real else 0
-        parts = [v.isNotNull()]
-        for bound, closed, beyond in ((lo, self.left_closed, v.__gt__), (hi, right, v.__lt__)):
+        parts = [F.lit(True)]
+        for bound, closed, strict, loose in ((lo, self.left_closed, v.__gt__, v.__ge__), (hi, right, v.__lt__, v.__le__)):
             if bound is not None:
-                strict = beyond(F.lit(bound))
-                at = (F.abs(v.cast("double") - F.lit(bound)) <= F.lit(r)) if real else v == F.lit(bound)
-                parts.append(strict | at if closed else strict)
+                x = F.lit(bound)
+                near = strict(x) | (F.abs(v.cast("double") - x) <= F.lit(r)) if real else loose(x)
+                parts.append(near if closed else strict(x))
         if real and lo is not None and hi is not None:
             parts.append(_sargable(v, lo - r, hi + r, r))
         return _guarded(df, self.name, reduce(Column.__and__, parts))

@@ -19,7 +19,7 @@ PERCENTILES = tuple(range(0, 101, 5))
 
 
 def selected(df: DataFrame, where: Column | None) -> DataFrame:
-    return df if where is None else df.filter(F.coalesce(where, F.lit(False)))
+    return df if where is None else df.filter(where)
 
 
 def usable(df: DataFrame, column: str) -> DataFrame:

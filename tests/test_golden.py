@@ -71,6 +71,15 @@ def test_nulls_and_nan_match_nothing_and_not_is_total(make):
     assert predicates.select(d).count() == 0
 
 
+def test_predicates_reach_the_scan(spark, make, tmp_path):
+    make([float(i) for i in range(32)]).withColumn("n", F.col("rid").cast("int")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    for p, pushed in ((Between("v", 3, 5, resolution=0.1), "GreaterThanOrEqual(v"), (Equals("v", 3, 0.1), "LessThanOrEqual(v"), (Between("n", 3, 5), "GreaterThanOrEqual(n,3)"), (In("n", [1, 2]), "In(n"), (Equals("n", 1) | Compare("n", "<", 3), "Or(")):
+        plan = frame.subset(df, p.column(df)).select("rid")._jdf.queryExecution().explainString(mode)
+        assert pushed in plan.split("PushedFilters")[1].split("\n")[0], plan
+
+
 def test_ranges_and_tiles(spark, make):
     assert make_range(1, 2) == Range(1, 2, True, True) and make_range(1.0, 2.0).right_closed is False
     assert [t.right_closed for t in tile([1, 5, 9])] == [False, True]
