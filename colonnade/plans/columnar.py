@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colonnade import schema
 from colonnade.operators import bars, factors, frame, histograms, predicates, stats
 from colonnade.operators.predicates import Between, Compare, Equals, Flag, In, Range
+from colonnade.runtime import shared_dir
 from colonnade.sources import builders, export
 from colonnade.sources.tables import table
 from colonnade.workspace import Workspace
@@ -30,6 +31,11 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def scratch(s: SparkSession, label: str) -> str:
+    """A new folder in the one that the executors share."""
+    return f"{shared_dir(s).removeprefix('file://')}/colonnade/{label}-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(f"`{n}`", digits).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in df.dtypes])
 
@@ -493,7 +499,7 @@ def range_unbounded(s, d):
 @query("SELECT n_nationkey, n_name FROM nation")
 def namespace_roundtrip(s, d):
     """Assigned to the temporary tier, moved to the persistent one, read again after the workspace was reopened."""
-    folder = tempfile.mkdtemp(prefix="colonnade-space-")
+    folder = scratch(s, "space")
     with Workspace(s, folder) as space:
         kept = space.assign("nations", table(s, d, "nation").select("n_nationkey", "n_name"))
         space.assign("persistent.nations", kept)
@@ -503,7 +509,7 @@ def namespace_roundtrip(s, d):
 
 @query("SELECT p_partkey, p_name FROM part")
 def csv_export_roundtrip(s, d):
-    folder = tempfile.mkdtemp(prefix="colonnade-csv-")
+    folder = scratch(s, "csv")
     export.export_frame(part(s, d).select("p_partkey", "p_name"), f"{folder}/part.csv")
     read = s.read.schema("p_name string, p_partkey long").option("escape", '"').csv(f"{folder}/part.csv/part-*")
     return read.select("p_partkey", "p_name")
@@ -553,14 +559,14 @@ def row_iteration(s, d):
 
 @query("SELECT p_name FROM part")
 def csv_vector_roundtrip(s, d):
-    folder = tempfile.mkdtemp(prefix="colonnade-csv-")
+    folder = scratch(s, "csv")
     export.export_vector(part(s, d).select("p_name"), "p_name", f"{folder}/names.csv")
     return s.read.schema("p_name string").option("escape", '"').csv(f"{folder}/names.csv")
 
 
 @query("SELECT * FROM (VALUES ('customers.dataFrame.csv'), ('names.vector.csv'), ('scalars.csv')) AS t(file)")
 def namespace_csv(s, d):
-    folder = tempfile.mkdtemp(prefix="colonnade-csv-")
+    folder = scratch(s, "csv")
     with Workspace(s, f"{folder}/space") as space:
         customers = table(s, d, "customer")
         space.spaces["temp"].assign_all({"customers": customers.select("c_custkey", "c_name", "c_nationkey"), "names": customers.select(F.col("c_custkey").alias("rid"), "c_name"), "one": builders.scalar(s, 1)})
@@ -571,7 +577,7 @@ def namespace_csv(s, d):
 @query("SELECT 'nations: frame' AS line UNION ALL SELECT CONCAT('  n_nationkey int, ', count(*), ' rows, ', min(n_nationkey), ' to ', max(n_nationkey)) FROM nation")
 def store_report(s, d):
     """The report on a store's persistent elements, without its samples."""
-    folder = tempfile.mkdtemp(prefix="colonnade-space-")
+    folder = scratch(s, "space")
     with Workspace(s, folder) as space:
         space.assign("persistent.nations", table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
         lines = space.report().splitlines()[:2]

@@ -206,6 +206,21 @@ def test_each_kind_of_case(spark, quiet_market):
     assert found(spark, [*rows, again]) == cases
 
 
+def test_verdicts_do_not_depend_on_partitions(spark, quiet_market):
+    rows = [tuple(r) for r in quiet_market]
+    rows[330] = (*rows[330][:5], rows[330][5] * 1.2, rows[330][6])
+    df = spark.createDataFrame(rows, BARS)
+    want = {rows[330][0]}
+    for parts, shuffle in ((1, "1"), (9, "3")):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        try:
+            got = implausible(df.repartition(parts), "symbol", "trade_day", "second", "rid", ["binClose", "binOpen"], "binVolume")
+            assert {r["rid"] for r in got.collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_no_rows_and_all_null_rows(spark):
     assert found(spark, []) == set()
     assert found(spark, [[1, 1, 5, "A", None, None, None], [None, 1, 6, "A", None, None, None]]) == set()
