@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -551,12 +552,41 @@ def column_at(s, d):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS event_id, value FROM events ORDER BY event_id LIMIT 25")
 def row_iteration(s, d):
-    """Rows read in order through the iterator."""
-    first = events(s, d).filter("event_id < 1000000")
-    rows = [r for _, r in zip(range(25), builders.rows(first, "event_id", ["event_id", "value"]))]
+    """The first rows read in order through the iterator, numbered as its SQL does; ``row_iteration_all`` goes over every row."""
+    rows = [r for _, r in zip(range(25), builders.rows(events(s, d), F.col("event_id").asc_nulls_last(), ["event_id", "value"]))]
     return s.createDataFrame([(i + 1, r["value"]) for i, r in enumerate(rows)], "event_id long, value double")
 
 
+@query("""WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id NULLS LAST, value NULLS LAST) AS k FROM events),
+  x AS (SELECT *, lag(event_id) OVER (ORDER BY k) AS before FROM r)
+  SELECT count(*) AS n_rows, count(event_id) AS n_ids, count(*) FILTER (WHERE event_id < before) AS descents,
+    first(event_id ORDER BY k) AS first_id, last(event_id ORDER BY k) AS last_id, first(value ORDER BY k) AS first_value, last(value ORDER BY k) AS last_value,
+    CAST(coalesce(sum((k % 1009) * (event_id % 1000003)), 0) AS BIGINT) AS id_sum,
+    CAST(coalesce(sum((k % 1009) * CASE WHEN isfinite(value) THEN CAST(floor(value * 100) AS BIGINT) END), 0) AS BIGINT) AS value_sum FROM x""")
+def row_iteration_all(s, d):
+    """Every row read in order through the iterator, with the ids that it gives: counts, descents, ends, and sums weighted by the position."""
+    return s.createDataFrame([iterated(builders.rows(events(s, d), [F.col("event_id").asc_nulls_last(), F.col("value").asc_nulls_last()], ["event_id", "value"]))], _ITERATED)
+
+
+_ITERATED = "n_rows long, n_ids long, descents long, first_id long, last_id long, first_value double, last_value double, id_sum long, value_sum long"
+
+
+def iterated(rows) -> tuple:
+    """What the iterated rows (event_id, value) come to, one row held at a time."""
+    n = ids = descents = id_sum = value_sum = 0
+    first, last = (None, None), (None, None)
+    for n, (i, v) in enumerate(rows, 1):
+        first = (i, v) if n == 1 else first
+        if i is not None:
+            ids += 1
+            descents += last[0] is not None and i < last[0]
+            id_sum += n % 1009 * int(math.fmod(i, 1000003))
+        if v is not None and math.isfinite(v):
+            value_sum += n % 1009 * math.floor(v * 100)
+        last = (i, v)
+    return n, ids, descents, first[0], last[0], first[1], last[1], id_sum, value_sum
+
+
 @query("SELECT p_name FROM part")
 def csv_vector_roundtrip(s, d):
     folder = scratch(s, "csv")
