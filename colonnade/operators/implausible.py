@@ -5,7 +5,8 @@ Each source's readings are split into trend, season and residual by robust stati
 * levels (prices): trend is the median of the neighbours before and that of the neighbours after a bar; the residual of a
   bar is its distance, in logarithms, from the nearer of the two, and 0 if it lies between them. A lasting move has its
   neighbours on one side and no residual; only what is soon gone again has one. Levels have no season within a day.
-* amounts (volumes): trend is the source's median, season the median profile over the time of day, both of logarithms.
+* amounts (volumes): trend is the source's median, season its own median profile over the time of day, both of logarithms.
+  A period with few bars of the source leans on the profile of all sources.
 
 A residual counts in units of the source's own robust scale and is held against the limit of the generalised extreme
 studentised deviate test for its rank. Constant runs and impossible values are separate checks.
@@ -300,11 +301,17 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     stats = stats.withColumn("repeats", _repeats(F.col("same_amounts"), F.col("amounts"), F.col("longest") - 1))
     stats = materialize(stats.select("source", "n", "mid", "quiet", "repeats", *[x for i in range(k) for x in (f"scale{i}", f"repeats{i}")]), "scales")
 
-    # amounts: the season is the median profile of all sources around their own medians, then each source's spread about it
+    # amounts: the season is the source's median profile around its median, few bars of a period leaning on that of all sources;
+    # then its spread about it
     about = join_dimension(feats.select("source", "rid", "bin", "first", "amount").filter("amount is not null"), stats.select("source", "mid"), ["source"], "inner").withColumn("r", F.col("amount") - F.col("mid"))
-    season = about.filter("first").groupBy("bin").agg(F.percentile_approx("r", 0.5, 1000).alias("season"))
-    profile = {r["bin"]: float(r["season"]) for r in season.collect()}  # one value for each of the day's periods
-    seasonal = F.element_at(F.create_map(*[F.lit(x) for b in range(p.seasons) for x in (b, profile.get(b, 0.0))]), F.col("bin").cast("int"))
+    pooled_season = about.filter("first").groupBy("bin").agg(F.percentile_approx("r", 0.5, 1000).alias("season"))
+    profile = {r["bin"]: float(r["season"]) for r in pooled_season.collect()}  # one value for each of the day's periods
+    own = about.filter("first").groupBy("source", "bin").agg(F.percentile_approx("r", 0.5, 500).alias("own"), F.count("*").alias("rs"))
+    weight = F.col("rs") / (F.col("rs") + F.lit(p.amount_prior))
+    season = lambda b: F.coalesce(F.max(F.when(F.col("bin") == b, weight * F.col("own") + (1 - weight) * F.lit(profile.get(b, 0.0)))), F.lit(profile.get(b, 0.0)))
+    seasons = materialize(own.groupBy("source").agg(F.array(*[season(b) for b in range(p.seasons)]).cast("array<float>").alias("seasons")), "seasons")
+    seasonal = F.element_at("seasons", F.col("bin").cast("int") + 1)
+    about = join_dimension(about, seasons, ["source"], "inner")
     about = about.withColumn("r", F.col("r") - seasonal)
     spread = about.filter("first").groupBy("source").agg(F.percentile_approx(F.abs("r"), 0.5, 500).alias("mad"), F.count("*").alias("rs"))
     spread = materialize(spread, "spread")
@@ -312,7 +319,7 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     lean = F.col("rs") / (F.col("rs") + F.lit(p.amount_prior))
     spread = spread.select("source", (1.4826 * F.greatest(lean * F.col("mad") + (1 - lean) * F.lit(pool), F.lit(0.1))).alias("spread"))
 
-    whole = join_dimension(feats, stats.join(spread, "source", "left"), ["source"], "inner")
+    whole = join_dimension(feats, stats.join(spread, "source", "left").join(seasons, "source", "left"), ["source"], "inner")
     scored = whole.select(
         "source",
         "rid",

@@ -229,3 +229,15 @@ def test_no_rows_and_all_null_rows(spark):
 def test_critical_values():
     # values of the two-sided test at 5 percent
     assert esd_critical(54, 0.05) == pytest.approx(3.158, abs=0.01) and esd_critical(50, 0.05) == pytest.approx(3.128, abs=0.01)
+
+
+def test_a_symbol_has_its_own_season(spark):
+    rng = random.Random(11)
+    rows = [r for i, s in enumerate("ABC") for d in range(30) for r in day(s, 100_000 * i + 300 * d, rng, day_=d)]
+    own = [r for d in range(60) for r in day("S", 900_000 + 300 * d, rng, day_=d)]
+    for r in own:  # busy in the second half of the day, when the others aren't
+        r[6] *= 80 if r[2] > 9000 else 1
+    spikes = {own[50][0], own[910][0]}
+    for k in (50, 910):
+        own[k][6] = 150_000  # high for the quiet half, usual in the busy one
+    assert found(spark, rows + own) == spikes
