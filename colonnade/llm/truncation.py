@@ -1,7 +1,7 @@
 """Subtitle texts that were cut off: by a field limit of their source or in mid-transfer.
 
-The vocabulary of the corpus (every word of every text but the last of each, with how often it ends a sentence, alone and
-after the word before it) stands in a table of counts; its prefixes are the nodes of a trie. A text's last token is evidence
+The vocabulary of the corpus (every word of every text but the last of each) stands in a table of counts, with how often a
+word ends a sentence, alone and after the word before it, in texts with punctuation; its prefixes are the nodes of a trie. A text's last token is evidence
 of a cut if it is no known word but a proper prefix of one, or a word that never ends a sentence. Structure of the format (a
 cue number or time without text, an open tag or bracket) and length evidence (texts crowded at their source's greatest length) come beside it.
 """
@@ -136,9 +136,13 @@ def tail(text: str, p: Rules = Rules()) -> tuple[str, str, str, str, bool]:
     return ("words" if said and ends < p.spoken * said else "title"), before, final, flat, closed
 
 
-def count_words(texts: list[str | None], p: Rules = Rules()) -> tuple[Counter, Counter, Counter]:
-    """Pairs of words, pairs that end a sentence, and adverts as whole cues, over all of the texts but their last words."""
+def count_words(texts: list[str | None], p: Rules = Rules()) -> tuple[Counter, Counter, Counter, Counter]:
+    """Pairs of words, pairs that end a sentence, adverts as whole cues, and words that stand in no pair, over all of the texts but their last words.
+
+    Captions without punctuation and texts under three words tell nothing of sentence ends: their words stand in no pair.
+    """
     adverts: Counter = Counter()
+    others: Counter = Counter()
     every: list[bytes] = []
     for text in texts:
         if not text:
@@ -156,10 +160,14 @@ def count_words(texts: list[str | None], p: Rules = Rules()) -> tuple[Counter, C
         if len(w) >= 3 and w.count(b".") >= p.unpunctuated * len(w):
             w[-1] = b""  # the last word is left out, and parts one text from the next
             every += w
+            others[w[0]] += 1  # no word before it
+        else:
+            others.update(w[:-1])
+    del others[b"."], others[b""]
     pairs = Counter(zip(every, every[1:]))
     stops = [i for i, x in enumerate(every) if x == b"." and i > 1]
     ends = Counter([(every[i - 2], every[i - 1]) for i in stops])
-    return pairs, ends, adverts
+    return pairs, ends, adverts, others
 
 
 def _tails(p: Rules):
@@ -174,21 +182,25 @@ def _tails(p: Rules):
 
 def _counts(p: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs: Counter, ends: Counter, adverts: Counter) -> pa.RecordBatch:
+        def out(pairs: Counter, ends: Counter, adverts: Counter, others: Counter) -> pa.RecordBatch:
             for x in [x for x in pairs if not x[0] or not x[1] or x[1] == b"."]:
                 del pairs[x]
-            a = [x[0].decode("utf-8", "replace") for x in pairs] + [""] * len(adverts)
-            b = [x[1].decode("utf-8", "replace") for x in pairs] + list(adverts)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([*pairs.values(), *adverts.values()], pa.int64()), pa.array([ends.get(x, 0) for x in pairs] + [0] * len(adverts), pa.int64()), pa.array([False] * len(pairs) + [True] * len(adverts))], names=["a", "b", "n", "e", "advert"])
-
-        total = (Counter(), Counter(), Counter())
+            a = [x[0].decode("utf-8", "replace") for x in pairs] + [""] * (len(others) + len(adverts))
+            b = [x[1].decode("utf-8", "replace") for x in pairs] + [x.decode("utf-8", "replace") for x in others] + list(adverts)
+            n = [*pairs.values(), *[0] * len(others), *adverts.values()]
+            e = [ends.get(x, 0) for x in pairs] + [0] * (len(others) + len(adverts))
+            seen = [*pairs.values(), *others.values(), *adverts.values()]
+            advert = [False] * (len(pairs) + len(others)) + [True] * len(adverts)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), *[pa.array(x, pa.int64()) for x in (n, e, seen)], pa.array(advert, pa.bool_())], names=["a", "b", "n", "e", "o", "advert"])
+
+        total = (Counter(), Counter(), Counter(), Counter())
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 for whole, part in zip(total, count_words(b.column(0).slice(at, 500).to_pylist(), p)):
                     whole.update(part)
-                if len(total[0]) > 300_000:  # held counts stay small, whatever the partition
+                if len(total[0]) + len(total[3]) > 300_000:  # held counts stay small, whatever the partition
                     yield out(*total)
-                    total = (Counter(), Counter(), Counter())
+                    total = (Counter(), Counter(), Counter(), Counter())
         yield out(*total)
 
     return run
@@ -198,24 +210,24 @@ def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p:
     """Every document with its verdict: (doc_id, source, cut).
 
     Null, empty and blank texts are whole. Documents that repeat count each, and a null source is a source of its own. An
-    empty table gives no rows. Word counts cover the whole corpus and are combined before they are shuffled.
+    empty table gives no rows. Word counts cover every text, ratios of sentence ends those with punctuation; they are combined before they are shuffled.
     """
     slim = spread(documents.select(doc_id, source, text))
     fields = [T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("source", documents.schema[source].dataType), *_SCHEMA.fields]
     tails = materialize(slim.mapInArrow(_tails(p), T.StructType(fields)), "tails")
-    counted = spread(documents.select(text)).mapInArrow(_counts(p), "a string, b string, n long, e long, advert boolean")
-    counts = materialize(counted.groupBy("a", "b", "advert").agg(F.sum("n").alias("n"), F.sum("e").alias("e")), "pairs")
+    counted = spread(documents.select(text)).mapInArrow(_counts(p), "a string, b string, n long, e long, o long, advert boolean")
+    counts = materialize(counted.groupBy("a", "b", "advert").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o")), "pairs")
 
     # what the undecided texts ask of the corpus: one row for each distinct last word, pair and cue
     open_ = tails.filter(~F.col("verdict").isin("cut", "whole"))
     pairs = counts.filter(~F.col("advert"))
     finals, asked_pairs = open_.select(F.col("final").alias("b")).distinct(), open_.select(F.col("before").alias("a"), F.col("final").alias("b")).distinct()
-    vocabulary = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    known = vocabulary.filter(F.col("n") >= p.known)
+    vocabulary = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o"))
+    known = vocabulary.filter(F.col("o") >= p.known).select("b", *[F.when(F.col("n") >= p.known, F.col(c)).alias(c) for c in ("n", "e")], F.lit(True).alias("known"))
     trie = known.filter((F.length("b") > 1) & (F.length("b") <= p.longest)).select(F.explode(F.expr("transform(sequence(1, length(b) - 1), k -> substring(b, 1, k))")).alias("b"))
     nodes = trie.distinct().withColumn("inner", F.lit(True))
     words = finals.join(known.withColumnRenamed("n", "wn").withColumnRenamed("e", "we"), "b", "left").join(nodes, "b", "left").withColumnRenamed("b", "final")
-    two = asked_pairs.join(pairs.select("a", "b", F.col("n").alias("pn"), F.col("e").alias("pe")), ["a", "b"], "inner").withColumnRenamed("a", "before").withColumnRenamed("b", "final")
+    two = asked_pairs.join(pairs.filter("n > 0").select("a", "b", F.col("n").alias("pn"), F.col("e").alias("pe")), ["a", "b"], "inner").withColumnRenamed("a", "before").withColumnRenamed("b", "final")
     adverts = open_.select("cue").distinct().join(counts.filter("advert and n >= 2").select(F.col("b").alias("cue"), F.lit(True).alias("seen")), "cue", "inner")
     titles = tails.filter("verdict in ('title', 'words') and closed").groupBy("cue").agg(F.count("*").alias("c")).filter(F.col("c") >= p.closing).select("cue", F.lit(True).alias("title"))
     limits = _limits(tails, p)
@@ -227,7 +239,7 @@ def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p:
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     at_limit = (no("by_chars") & (F.col("chars") > F.col("max_chars") - p.near)) | (no("by_bytes") & (F.col("bytes") > F.col("max_bytes") - p.near))
     at_limit = F.coalesce(at_limit, F.lit(False))
-    fragment = F.col("wn").isNull() & no("inner")
+    fragment = ~no("known") & no("inner")
     pair_ends = F.when(F.col("pn") >= p.pairs, F.col("pe") >= p.ends * F.col("pn")).otherwise(F.coalesce(F.col("we") >= p.ends * F.col("wn"), F.lit(True)))
     # behind a line end only words that plainly never end a sentence tell
     never = F.coalesce((F.col("pn") >= p.pairs) & (F.col("pe") == 0) & (F.col("we") < p.ends * F.col("wn")), F.lit(False))

@@ -79,3 +79,14 @@ def test_find_truncated(spark, corpus):
     shares = {r["source"]: r for r in share_by_source(verdicts).collect()}
     assert set(shares) == {"plain", "field", None} and shares["field"]["documents"] == 100
     assert find_truncated(df.limit(0), "d", "cue", "final", Rules()).count() == 0
+
+
+def test_words_of_captions_without_punctuation_are_known(spark):
+    docs = [[i, "plain", text(8)] for i in range(40)]
+    captions = ["THE ZEPPELINS ARE COMING", "NEVER TRUST A HARLEQUIN AGAIN", "A GREAT ZEPPELINS PARADE"] * 4
+    docs += [[100 + i, "caps", text(12, "\n", captions)] for i in range(5)]
+    docs += [[110, "caps", text(9, "", captions + ["WE SAW THE ZEPPEL"])], [111, "caps", text(9, "", captions + ["WE SAW A HARLEQUIN"])]]
+    docs += [[120 + i, "short", "blan again"] for i in range(2)]  # under three tokens
+    docs += [[130, "plain", text(8, "", captions + ["WE SAW THE BLAN"])], [131, "plain", text(8, "", captions + ["WE SAW THE BLANK"])]]
+    df = spark.createDataFrame([tuple(r) for r in docs], "doc_id long, source string, text string")
+    assert {r["doc_id"] for r in find_truncated(df, "doc_id", "source", "text").collect() if r["cut"]} & {110, 111, 130, 131} == {110, 131}
