@@ -210,7 +210,7 @@ class Items:
         return a, z
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
-        """(place of the text, item, longest stretch in words) of all pairs that share at least two overlapping seeds."""
+        """(place of the text, item, longest stretch in words) of all pairs that share a seed."""
         if not len(self.hashes):
             return []
         raws = [words(t) if t else [] for t in texts]
@@ -234,8 +234,6 @@ class Items:
         out = []
         for a, z in zip(cut, np.append(cut[1:], len(at))):
             k, i = int(doc[a]), int(place[a, 0])
-            if len(np.unique(place[a:z, 1])) < 2:
-                continue  # under six words in one piece
             d = ids[starts[k] : starts[k + 1]]
             here = at[a:z] - starts[k]
             n = self.longest(d, raws[k], i, self.tiles(d, i, here, place[a:z, 1]))

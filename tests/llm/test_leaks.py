@@ -93,3 +93,13 @@ def test_find_leaks(spark):
     in_blocks = sorted((str(r["doc_id"]), str(r["item_id"])) for r in find_leaks(d, i, "id", "text", "id", "text", Tiling(block=7)).collect())
     assert in_blocks == rows
     assert find_leaks(d.limit(0), i, "id", "text", "id", "text").count() == find_leaks(d, i.limit(0), "id", "text", "id", "text").count() == 0
+
+
+def test_one_seed_is_enough():
+    item = [(0, "Velmora carried the lantern towards seven kettles near violins beside the orchard")]
+    w = item[0][1].split()
+    assert len(w) == 12
+    w[4], w[8] = "towxrds", "vixlins"  # clean runs of 4, 3 and 3 words
+    assert leaked(cues([*FILLER, *wrapped(" ".join(w)), *FILLER]), item) == {0}
+    w[4] = "underneath"
+    assert leaked(cues([*FILLER, *wrapped(" ".join(w)), *FILLER]), item) == set()
