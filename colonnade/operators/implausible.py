@@ -73,7 +73,7 @@ def _feature_schema(source: str, segment: str, row: str, df: DataFrame, levels:
             T.StructField("bin", T.ByteType()),
             T.StructField("first", T.BooleanType()),
             T.StructField("impossible", T.BooleanType()),
-            *[x for i in range(len(levels)) for x in (T.StructField(f"gap{i}", T.FloatType()), T.StructField(f"move{i}", T.FloatType()), T.StructField(f"run{i}", T.IntegerType()))],
+            *[x for i in range(len(levels)) for x in (T.StructField(f"gap{i}", T.FloatType()), T.StructField(f"move{i}", T.FloatType()), T.StructField(f"run{i}", T.IntegerType()), T.StructField(f"own{i}", T.BooleanType()))],
             T.StructField("amount", T.FloatType()),
             T.StructField("idle", T.BooleanType()),
             T.StructField("arun", T.IntegerType()),
@@ -119,6 +119,18 @@ def _runs(value: np.ndarray, usable: np.ndarray, group: np.ndarray) -> np.ndarra
     return out
 
 
+def _own_runs(x: np.ndarray, place: np.ndarray, value: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Length of the run that each x would lie in, were it the value at its place among the values of the groups."""
+    n = len(value)
+    new = np.r_[True, (value[1:] != value[:-1]) | (group[1:] != group[:-1])]
+    starts = np.flatnonzero(new)
+    start, end = starts[np.cumsum(new) - 1], np.r_[starts[1:], n][np.cumsum(new) - 1]
+    prev, nxt = np.maximum(place - 1, 0), np.minimum(place + 1, n - 1)
+    left = np.where((place > 0) & (group[prev] == group[place]) & (value[prev] == x), place - start[prev], 0)
+    right = np.where((place < n - 1) & (group[nxt] == group[place]) & (value[nxt] == x), end[nxt] - place - 1, 0)
+    return left + 1 + right
+
+
 def _features(source: str, segment: str, time: str, row: str, levels: list[str], amount: str, p: Limits, schema: pa.Schema):
     def block(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -147,25 +159,31 @@ def _features(source: str, segment: str, time: str, row: str, levels: list[str],
             value[bar[idx]] = x[idx]
             have = np.isfinite(value)
             at = np.flatnonzero(have)
-            gap, move = np.zeros(len(bars)), np.full(len(bars), np.nan)
+            move = np.full(len(bars), np.nan)
+            gap, run = np.zeros(n), np.where(good, _runs(np.nan_to_num(value), have, g)[bar], 0)
+            own = good & (x != value[bar])  # another reading than the time's; it is judged by itself
             if len(at):
                 lx, gg = np.log(value[at]), g[at]
-                before, after = _side_medians(lx, gg, p.neighbours)
-                d0, d1 = lx - before, lx - after
+                sides = np.full((2, len(bars)), np.nan)
+                sides[:, at] = _side_medians(lx, gg, p.neighbours)
+                read = np.flatnonzero(good)
+                lr = np.log(x[read])
+                d0, d1 = lr - sides[0][bar[read]], lr - sides[1][bar[read]]
                 both = np.isfinite(d0) & np.isfinite(d1)
                 with np.errstate(invalid="ignore"):
                     near = np.where(np.sign(d0) == np.sign(d1), np.minimum(np.abs(d0), np.abs(d1)), 0.0)
                 one = np.where(np.isfinite(d0), np.abs(d0), np.where(np.isfinite(d1), np.abs(d1), 0.0))
-                gap[at] = np.where(both, near, one)
+                gap[read] = np.where(both, near, one)
                 step = np.r_[np.nan, np.abs(np.diff(lx))]
                 step[np.flatnonzero(np.r_[True, gg[1:] != gg[:-1]])] = np.nan
                 move[at] = step
-            run = _runs(np.nan_to_num(value), have, g)
-            same = good & (x == value[bar])  # a row whose own reading differs from the time's isn't judged by it
-            out[f"gap{i}"] = np.where(same, gap[bar], 0.0).astype(np.float32)
+                if own.any():
+                    place = np.cumsum(have) - 1
+                    run[own] = _own_runs(x[own], place[bar[own]], value[at], gg)
+            out[f"gap{i}"] = gap.astype(np.float32)
             out[f"move{i}"] = np.where(fresh, move[bar], np.nan).astype(np.float32)
-            out[f"run{i}"] = np.where(good | ~there, run[bar], 0).astype(np.int32)
-            out[f"run{i}"][~same] = 0
+            out[f"run{i}"] = run.astype(np.int32)
+            out[f"own{i}"] = own
         c = col(amount)
         there = c.is_valid().to_numpy(zero_copy_only=False)
         x = c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
@@ -234,12 +252,12 @@ def esd_limit(n: Column, rank: Column, alpha: float) -> Column:
     return F.element_at(table, (F.floor(F.log(m) / F.lit(step)) + 1).cast("int"))
 
 
-def _cutoffs(scored: DataFrame, tests: list[tuple[str, float, float]], p: Limits) -> DataFrame:
+def _cutoffs(scored: DataFrame, tests: list[tuple[str, float, float, str]], p: Limits) -> DataFrame:
     """The least flagged score of each source and test, (source, cut_<score>...): ranks come from counts in buckets of the score.
 
-    Only scores above the test's least count; there are at most a few thousand buckets a source, whatever its size.
+    Only scores above the test's least count, of rows that the test's last column names; there are at most a few thousand buckets a source, whatever its size.
     """
-    each = F.array(*[F.struct(F.lit(i).alias("test"), F.col(z).alias("z"), F.lit(tail).alias("tail"), F.lit(least).alias("least")) for i, (z, tail, least) in enumerate(tests)])
+    each = F.array(*[F.struct(F.lit(i).alias("test"), F.when(F.col(c), F.col(z)).alias("z"), F.lit(tail).alias("tail"), F.lit(least).alias("least")) for i, (z, tail, least, c) in enumerate(tests)])
     high = scored.select("source", "n", F.explode(each).alias("e")).select("source", "n", "e.*").filter("z >= least")
     high = high.withColumn("b", F.floor(F.log("z") / F.lit(math.log1p(p.width))).cast("int"))
     counts = high.groupBy("source", "test", "b").agg(F.count("*").alias("c"), F.min("z").alias("low"), F.max("n").alias("n"), F.max("tail").alias("tail"))
@@ -265,7 +283,7 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     ``time`` is an integer, ``levels`` are floating, ``amount`` is an integer; a segment (a day) is a bounded stretch of time.
     Rows without source, segment or time, or with a time outside 1..limits.day, are not judged. Nulls are no readings and are
     passed over. Of rows with the same source, segment and time the first (by row) counts once in all statistics; the others
-    get its verdict where they hold the same value. Sources with few readings lean on the pooled scale of all. An empty table gives no rows.
+    are judged by their own values against the neighbours of that time. Sources with few readings lean on the pooled scale of all. An empty table gives no rows.
     """
     p, c = limits, (lambda name: F.col(f"`{name}`"))
     spark = df.sparkSession
@@ -327,6 +345,7 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
         "impossible",
         "n",
         "amount",
+        *[f"own{i}" for i in range(k)],
         *[(F.col(f"gap{i}") / F.col(f"scale{i}")).alias(f"z{i}") for i in range(k)],
         ((F.col("amount") - F.col("mid") - seasonal) / F.col("spread")).alias("za"),
         _stuck([(f"run{i}", f"repeats{i}") for i in range(k)] + [("arun", "repeats")], p).alias("stuck"),
@@ -336,8 +355,9 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     for i in range(k):
         may |= F.coalesce(f"z{i}", F.lit(0.0)) >= p.level_least
     scored = materialize(scored.filter(may), "scored")
-    tests = [*[(f"z{i}", p.level_tail, p.level_least) for i in range(k)], ("za", p.amount_tail, p.amount_least)]
-    flagged = join_dimension(scored, materialize(_cutoffs(scored.filter("first"), tests, p), "cutoffs"), ["source"], "left")
+    tests = [*[(f"z{i}", p.level_tail, p.level_least, f"ranked{i}") for i in range(k)], ("za", p.amount_tail, p.amount_least, "first")]
+    ranked = scored.withColumns({f"ranked{i}": F.col("first") | F.col(f"own{i}") for i in range(k)})
+    flagged = join_dimension(scored, materialize(_cutoffs(ranked, tests, p), "cutoffs"), ["source"], "left")
     flagged = join_dimension(flagged, materialize(_standing_out(flagged.filter("first"), p), "apart"), ["source"], "left")
     spike = F.coalesce((F.col("za") >= F.col("cut_za")) & ((F.col("za") >= p.amount_sure) | (F.col("amount") >= F.col("apart"))), F.lit(False))
     for i in range(k):

@@ -241,3 +241,18 @@ def test_a_symbol_has_its_own_season(spark):
     for k in (50, 910):
         own[k][6] = 150_000  # high for the quiet half, usual in the busy one
     assert found(spark, rows + own) == spikes
+
+
+def test_another_price_of_the_same_second_is_judged_by_itself(spark, quiet_market):
+    rows = [list(r) for r in quiet_market]
+    spike = [60_000, *rows[400][1:]]
+    spike[5] *= 1.3  # a spike beside an ordinary reading
+    plain = [60_001, *rows[700][1:]]
+    rows[700][5] *= 0.7  # an ordinary reading beside a spike
+    for k in range(900, 920):
+        rows[k][5] = rows[900][5]
+    stuck = [60_002, *rows[910][1:]]
+    rows[910][5] *= 1.0001  # parts the run in two, which the other reading joins
+    want = {60_000, rows[700][0], 60_002, *(rows[k][0] for k in (*range(900, 910), *range(911, 920)))}
+    got = found(spark, [*rows, spike, plain, stuck])
+    assert {60_000, 60_002, rows[700][0]} <= got and 60_001 not in got and got <= want
