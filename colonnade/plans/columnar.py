@@ -612,3 +612,27 @@ def store_report(s, d):
         space.assign("persistent.nations", table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
         lines = space.report().splitlines()[:2]
     return s.createDataFrame([(line.partition(":")[0] if "rows" in line else line,) for line in lines], "line string")
+
+
+@query("""SELECT 'customers.dataFrame.csv' AS file, CONCAT(c_custkey, ',', coalesce('"' || replace(c_name, '"', '""') || '"', ''), ',', c_nationkey) AS line FROM customer
+  UNION ALL SELECT 'names.vector.csv', coalesce('"' || replace(c_name, '"', '""') || '"', '') FROM customer UNION ALL SELECT 'scalars.csv', '"one",1'""")
+def namespace_csv_rows(s, d):
+    """Every line of the exported files, without the frame's header and notes."""
+    folder = scratch(s, "csv")
+    with Workspace(s, f"{folder}/space") as space:
+        customers = table(s, d, "customer")
+        space.spaces["temp"].assign_all({"customers": customers.select("c_custkey", "c_name", "c_nationkey"), "names": customers.select(F.col("c_custkey").alias("rid"), "c_name"), "one": builders.scalar(s, 1)})
+        written = export.export_namespace(space.spaces["temp"], f"{folder}/out")
+    lines = [s.read.text(f"{folder}/out/{w}" + ("" if w == "scalars.csv" else "/part-*")).select(F.lit(w).alias("file"), F.col("value").alias("line")) for w in written]
+    return reduce(DataFrame.unionByName, lines)
+
+
+@query("SELECT 'nations: frame' AS line, CAST(0 AS BIGINT) AS samples UNION ALL " + " UNION ALL ".join(f"SELECT CONCAT('  {c} {t}, ', count(*), ' rows, ', min({c}), ' to ', max({c})), least(count(*), 10) FROM nation" for c, t in (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int"))))
+def store_report_columns(s, d):
+    """The report's line on each column, with the number of its samples."""
+    folder = scratch(s, "space")
+    with Workspace(s, folder) as space:
+        space.assign("persistent.nations", table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+        lines = space.report().splitlines()
+    parts = [line.partition(": ") if "rows" in line else (line, "", "") for line in lines]
+    return s.createDataFrame([(a, len(b.split(", ")) if b else 0) for a, _, b in parts], "line string, samples long")
