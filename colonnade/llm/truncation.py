@@ -1,9 +1,14 @@
 """Subtitle texts that were cut off: by a field limit of their source or in mid-transfer.
 
-The vocabulary of the corpus (every word of every text but the last of each) stands in a table of counts, with how often a
-word ends a sentence, alone and after the word before it, in texts with punctuation; its prefixes are the nodes of a trie. A text's last token is evidence
-of a cut if it is no known word but a proper prefix of one, or a word that never ends a sentence. Structure of the format (a
-cue number or time without text, an open tag or bracket) and length evidence (texts crowded at their source's greatest length) come beside it.
+The vocabulary of the corpus holds every word of every text but the last of each, and the headers of cues (number and time
+line, each digit a 0) as tokens of their own; the proper prefixes of known tokens are the nodes of a trie. The final token of
+every text that doesn't end with a closed sentence is looked up there. Four kinds of evidence are kept apart:
+
+* trie: the final token is unknown and a proper prefix of known ones, be it a word or a header;
+* length: the text lies at a length where texts of its source crowd, and its end is open;
+* sentence: the last word (alone and after the word before it) hardly ever ends a sentence, or a cue without closing mark
+  stands among punctuated ones and is no known closing title or advert;
+* structure: an open tag, bracket or song mark, or a mark that goes on (such as a comma).
 """
 
 from __future__ import annotations
@@ -12,25 +17,33 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.runtime import join_dimension, materialize, spread
+from colonnade.runtime import join_dimension, materialize, small, spread
 
 
 @dataclass(frozen=True)
 class Rules:
-    #: times that a word must occur to be known; letters of the longest word whose prefixes are kept
+    #: a token is known if it occurs so often, and in this part of the occurrences of all tokens that begin with it
     known: int = 2
-    longest: int = 40
+    family: float = 0.0005
+    #: letters up to which prefixes are nodes of their own; longer tokens are compared behind their first so many letters
+    head: int = 64
     #: a word or pair ends a sentence if it does so in this part of its occurrences, of which there must be some
     ends: float = 0.02
     pairs: int = 5
-    #: texts that end in the same unpunctuated cue and a line end after it make a closing title
+    #: different texts, and part of all texts, that end in the same unpunctuated cue and a line end after it make a closing title
     closing: int = 3
+    closing_part: float = 1e-5
+    #: times that an advert must be seen as a cue within texts
+    adverts: int = 2
+    #: first words of a line of credits; such a line is an advert if it has ``by`` in it. Empty: only addresses make adverts
+    credits: str = r"synced|subtitles?|encoded|ripped|captions?|captioned|translat\w+|corrected|timed"
     #: a text without sentence ends in this part of its words is one of captions without punctuation
     unpunctuated: float = 0.02
     #: the last cues of a text are captions without punctuation below this
@@ -42,9 +55,11 @@ class Rules:
 
 
 _TIME = re.compile(r"(?:^|\n)(?:[ \t]*\d+[ \t]*\n)?[^\n]*-->[^\n]*(?=\n|$)")
+#: a time line or its beginning
+_PART = re.compile(r"\d[\d:.,]*(?:\s*-{0,2}>?\s*[\d:.,]*)?")
 _TAG = re.compile(r"</?[a-zA-Z0-9]{1,2}>")
 _ADDRESS = re.compile(r"[A-Za-z0-9_-]\.[a-z]{2,}")
-_CREDIT = re.compile(r"(?i)^\W*(?:synced|subtitles?|encoded|ripped|captions?|captioned|translat\w+|corrected|timed)\b.*\bby\b|^\s*-=")
+_FRAMED = re.compile(r"^\s*-=")
 #: a mark inside a word is a lost letter
 _SENTENCE = re.compile(r"[.!?…](?=[\s\"'”’»<—]|$)")
 _CLOSERS = "\"'”’»“"
@@ -52,9 +67,12 @@ _ENDS = ".!?"
 _OPEN = set(",;:-–+=&|/<([{¿¡$@_\\")
 _BREAKS = bytes.maketrans(b"\"#$%&()*+,/:;<=>@[\\]^_`{|}~\t\r\n!?", b" " * 30 + b"..")
 _APART = [(c.encode(), b" ") for c in "♪«»“”„—–"] + [("…".encode(), b".")]
+_DIGITS = str.maketrans("123456789", "000000000")
+#: how a text ends: blank or closed (nothing to ask), else what its open end is
+STATES = ("whole", "header", "broken", "pause", "advert", "title", "words")
 _SCHEMA = T.StructType(
     [
-        T.StructField("verdict", T.StringType()),
+        T.StructField("state", T.StringType()),
         T.StructField("before", T.StringType()),
         T.StructField("final", T.StringType()),
         T.StructField("cue", T.StringType()),
@@ -65,14 +83,16 @@ _SCHEMA = T.StructType(
 )
 
 
-#: a letter lost in recoding
+#: a letter lost in recoding, and one decoded into a letter and a mark
 _LOST = re.compile(rb"(?<=[a-z\x80-\xff])\?(?=[a-z\x80-\xff])")
+_RECODED = re.compile("ã(?:“|”|„|–|—)(?=[a-z])".encode())
 
 
 def _split(text: str) -> list[bytes]:
     """Words in lower case, sentence ends as words of their own."""
     b = text.lower().encode("utf-8", "replace")
     if not b.isascii():
+        b = _RECODED.sub(b"\xef\xbf\xbd", b)
         for mark, by in _APART:
             b = b.replace(mark, by)
     return _LOST.sub(b"\xef\xbf\xbd", b).translate(_BREAKS).replace(b".", b" . ").split()
@@ -82,76 +102,107 @@ def _plain(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
+def _credit(words: str) -> re.Pattern:
+    return re.compile(rf"(?i)^\W*(?:{words})\b.*\bby\b") if words else re.compile(r"(?!)")
+
+
+def _advert(line: str, p: Rules) -> bool:
+    return bool(_ADDRESS.search(line) or _FRAMED.search(line) or _credit(p.credits).search(line))
+
+
+def header(number: bool, time: str) -> str:
+    """The token of a cue's header: # for the number, the time line with each digit a 0, and a mark for the words that follow."""
+    return ("#\n" if number else "") + time.strip().translate(_DIGITS)
+
+
+def _open_header(body: str) -> str | None:
+    """The token of the header within which a text ends, or None if it ends elsewhere."""
+    lines = body.rsplit("\n", 2)
+    line, above = lines[-1].strip(), lines[-2].strip() if len(lines) > 1 else ""
+    shut = line.removesuffix("…").rstrip(".") or line
+    if shut.isdecimal() and "-->" not in above:
+        return "#"
+    if "-->" in line or ("-->" not in above and _PART.fullmatch(shut)):
+        return header(above.isdecimal(), shut)
+    return None
+
+
 def tail(text: str, p: Rules = Rules()) -> tuple[str, str, str, str, bool]:
-    """(verdict, word before, last word, last cue, line end behind): verdict is cut or whole where the format settles it.
+    """(state, word before, last token, last cue, line end behind) of a text's end.
 
-    Otherwise it says what decides: title (an unpunctuated cue among punctuated ones), words (captions without punctuation)
-    or pause (an ellipsis).
+    States: whole (blank or closed), header (within the number or time line of a cue, or behind it without words), broken
+    (open markup, or a mark that goes on), pause (an ellipsis), advert, title (an unpunctuated cue among punctuated ones),
+    words (captions without punctuation).
     """
     t = _plain(text)
     closed = t.endswith("\n")
     body = t.rstrip()
     if not body:
         return "whole", "", "", "", closed
+    if (token := _open_header(body)) is not None:
+        return "header", "", token, "", closed
     at = [m for m in _TIME.finditer(body)]
-    line = body[body.rfind("\n") + 1 :].strip()
-    if re.fullmatch(r"\d+(?:\.\.\.|…)?", line) or re.fullmatch(r"[\d:.,]+(?:…|\s*-{0,2}>?\s*[\d:.,…]*)?", line) or "-->" in line:
-        return "cut", "", "", "", closed
-    if not at:
-        cue = body
-    else:
-        cue = body[at[-1].end() :].strip()
+    cue = body[at[-1].end() :].strip() if at else body
     bare = _TAG.sub("", cue).strip()
     flat = " ".join(bare.split())
-    words = _split(bare)
-    spoken = [w.decode("utf-8", "replace") for w in words if w != b"."]
+    spoken = [w.decode("utf-8", "replace") for w in _split(bare) if w != b"."]
     if len(spoken) < 2 and at:
         earlier = _split(_TAG.sub("", body[at[-2].end() : at[-1].start()] if len(at) > 1 else ""))
         spoken = [w.decode("utf-8", "replace") for w in earlier[-1:] if w != b"."] + spoken
     final, before = spoken[-1] if spoken else "", spoken[-2] if len(spoken) > 1 else ""
-    opened = len(re.findall(r"<[il1]>", cue)) - cue.count("</i>")
+    end = before, final, flat, closed
     last = bare[bare.rfind("\n") + 1 :].strip()
-    if opened > 0 or re.search(r"<[^>]*$", cue) or (last.count("[") > last.count("]")) or (last.count("(") > last.count(")")):
-        return "cut", before, final, flat, closed
-    if last.startswith("♪") and not (last.endswith("♪") and len(last) > 2):
-        return "cut", before, final, flat, closed
-    if last.startswith("-=") and not last.endswith("=-"):
-        return "cut", before, final, flat, closed
     if last.endswith("=-"):
-        return "whole", before, final, flat, closed
-    if _ADDRESS.search(last) or _CREDIT.search(last):
-        return "advert", before, final, flat, closed
+        return "whole", *end
+    opened = len(re.findall(r"<[il1]>", cue)) - cue.count("</i>")
+    if opened > 0 or re.search(r"<[^>]*$", cue) or last.count("[") > last.count("]") or last.count("(") > last.count(")"):
+        return "broken", *end
+    if (last.startswith("♪") and not (last.endswith("♪") and len(last) > 2)) or last.startswith("-="):
+        return "broken", *end
+    if _advert(last, p):
+        return "advert", *end
     shut = last.rstrip(_CLOSERS)
     if not shut or shut[-1] in _OPEN:
-        return "cut", before, final, flat, closed
+        return "broken", *end
     if shut.endswith(("...", "…")):
-        return "pause", before, final, flat, closed
-    if shut[-1] in _ENDS or not (shut[-1].isalnum() or shut[-1] in "'’"):
-        return "whole", before, final, flat, closed
-    if shut[-1] in "ªº¦":  # a recoded note or ellipsis
-        return "whole", before, final, flat, closed
+        return "pause", *end
+    # a recoded note or ellipsis closes too
+    if shut[-1] in _ENDS or shut[-1] in "ªº¦" or not (shut[-1].isalnum() or shut[-1] in "'’"):
+        return "whole", *end
     lately = _TAG.sub("", _TIME.sub("\n", body[at[-6].start() if len(at) > 5 else 0 : at[-1].start()] if at else ""))
-    lately = "\n".join(x for x in lately.split("\n") if not (_ADDRESS.search(x) or _CREDIT.search(x) or x.strip()[:1] in "[(*♪-="))
+    lately = "\n".join(x for x in lately.split("\n") if not (_advert(x, p) or x.strip()[:1] in "[(*♪-="))
     ends, said = len(_SENTENCE.findall(lately)), len(lately.split())
-    return ("words" if said and ends < p.spoken * said else "title"), before, final, flat, closed
+    return ("words" if said and ends < p.spoken * said else "title"), *end
 
 
 def count_words(texts: list[str | None], p: Rules = Rules()) -> tuple[Counter, Counter, Counter, Counter]:
-    """Pairs of words, pairs that end a sentence, adverts as whole cues, and words that stand in no pair, over all of the texts but their last words.
+    """Pairs of words, pairs that end a sentence, adverts as whole cues, and tokens that stand in no pair, over all of the texts but their last tokens.
 
     Captions without punctuation and texts under three words tell nothing of sentence ends: their words stand in no pair.
     """
     adverts: Counter = Counter()
     others: Counter = Counter()
     every: list[bytes] = []
+    credit = _credit(p.credits)
     for text in texts:
         if not text:
             continue
-        cues = _TIME.split(_plain(text))
+        plain = _plain(text)
+        cues, heads, begin = [], [], 0
+        for m in _TIME.finditer(plain):
+            cues.append(plain[begin : m.start()])
+            heads.append(m.group())
+            begin = m.end()
+        cues.append(plain[begin:])
+        if heads and not cues[-1].strip():
+            heads.pop()  # the text ends with it
+        for h in heads:
+            lines = h.strip("\n").rsplit("\n", 1)
+            others[header(len(lines) > 1, lines[-1]).encode("utf-8", "replace") + b"\n."] += 1
         t = "\n".join(cues[:-1])
         if _ADDRESS.search(t) or " by " in t:
             for c in cues[:-1]:
-                if _ADDRESS.search(c) or (" by " in c and _CREDIT.search(c.strip())):
+                if _ADDRESS.search(c) or (" by " in c and credit.search(c.strip())):
                     adverts[" ".join(_TAG.sub("", c).split())] += 1
         t = f"{t}\n{cues[-1]}"
         w = _split(_TAG.sub("", t) if "<" in t else t)
@@ -172,10 +223,11 @@ def count_words(texts: list[str | None], p: Rules = Rules()) -> tuple[Counter, C
 
 def _tails(p: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 4 + [pa.bool_(), pa.int32(), pa.int32()]
         for b in batches:
-            texts = b.column(2).to_pylist()
-            rows = [(*tail(t, p), len(t), len(t.encode("utf-8", "replace"))) if t and t.strip() else ("whole", "", "", "", False, 0, 0) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c)) if i < 5 else pa.array(list(c), pa.int32()) for i, c in enumerate(zip(*rows))]] if rows else [b.column(0), b.column(1), *[pa.array([], x) for x in (pa.string(),) * 4 + (pa.bool_(), pa.int32(), pa.int32())]], names=["doc_id", "source", *_SCHEMA.names])
+            rows = [(*tail(t, p), len(t), len(t.encode("utf-8", "replace"))) if t and t.strip() else ("whole", "", "", "", False, 0, 0) for t in b.column(3).to_pylist()]
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names=["doc_id", "source", "print", *_SCHEMA.names])
 
     return run
 
@@ -206,53 +258,85 @@ def _counts(p: Rules):
     return run
 
 
-def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p: Rules = Rules()) -> DataFrame:
-    """Every document with its verdict: (doc_id, source, cut).
+def evidence(documents: DataFrame, doc_id: str, source: str, text: str, p: Rules = Rules()) -> DataFrame:
+    """Every document with the evidence of a cut: (doc_id, source, trie, length, sentence, structure), each a boolean.
 
     Null, empty and blank texts are whole. Documents that repeat count each, and a null source is a source of its own. An
-    empty table gives no rows. Word counts cover every text, ratios of sentence ends those with punctuation; they are combined before they are shuffled.
+    empty table gives no rows. Token counts cover every text, ratios of sentence ends those with punctuation; they are combined before they are shuffled.
     """
-    slim = spread(documents.select(doc_id, source, text))
-    fields = [T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("source", documents.schema[source].dataType), *_SCHEMA.fields]
+    slim = spread(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("print"), F.col(f"`{text}`").alias("text")))
+    fields = [T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("source", documents.schema[source].dataType), T.StructField("print", T.LongType()), *_SCHEMA.fields]
     tails = materialize(slim.mapInArrow(_tails(p), T.StructType(fields)), "tails")
     counted = spread(documents.select(text)).mapInArrow(_counts(p), "a string, b string, n long, e long, o long, advert boolean")
     counts = materialize(counted.groupBy("a", "b", "advert").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o")), "pairs")
 
-    # what the undecided texts ask of the corpus: one row for each distinct last word, pair and cue
-    open_ = tails.filter(~F.col("verdict").isin("cut", "whole"))
+    # what the open ends ask of the corpus: one row for each distinct last token, pair and cue
+    open_ = tails.filter("state <> 'whole'")
     pairs = counts.filter(~F.col("advert"))
-    finals, asked_pairs = open_.select(F.col("final").alias("b")).distinct(), open_.select(F.col("before").alias("a"), F.col("final").alias("b")).distinct()
-    vocabulary = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o"))
-    known = vocabulary.filter(F.col("o") >= p.known).select("b", *[F.when(F.col("n") >= p.known, F.col(c)).alias(c) for c in ("n", "e")], F.lit(True).alias("known"))
-    trie = known.filter((F.length("b") > 1) & (F.length("b") <= p.longest)).select(F.explode(F.expr("transform(sequence(1, length(b) - 1), k -> substring(b, 1, k))")).alias("b"))
-    nodes = trie.distinct().withColumn("inner", F.lit(True))
-    words = finals.join(known.withColumnRenamed("n", "wn").withColumnRenamed("e", "we"), "b", "left").join(nodes, "b", "left").withColumnRenamed("b", "final")
+    words = materialize(_words(open_.select("final").filter("final <> ''").distinct(), pairs, p), "words")
+    asked_pairs = open_.select(F.col("before").alias("a"), F.col("final").alias("b")).distinct()
     two = asked_pairs.join(pairs.filter("n > 0").select("a", "b", F.col("n").alias("pn"), F.col("e").alias("pe")), ["a", "b"], "inner").withColumnRenamed("a", "before").withColumnRenamed("b", "final")
-    adverts = open_.select("cue").distinct().join(counts.filter("advert and n >= 2").select(F.col("b").alias("cue"), F.lit(True).alias("seen")), "cue", "inner")
-    titles = tails.filter("verdict in ('title', 'words') and closed").groupBy("cue").agg(F.count("*").alias("c")).filter(F.col("c") >= p.closing).select("cue", F.lit(True).alias("title"))
-    limits = _limits(tails, p)
-
-    out = tails
-    for dimension, on in ((words, ["final"]), (two, ["before", "final"]), (adverts, ["cue"]), (titles, ["cue"])):
-        out = join_dimension(out, materialize(dimension, "asked"), on, "left")
-    out = join_dimension(out.withColumn("key", _key()), limits, ["key"], "left")
-    no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    at_limit = (no("by_chars") & (F.col("chars") > F.col("max_chars") - p.near)) | (no("by_bytes") & (F.col("bytes") > F.col("max_bytes") - p.near))
-    at_limit = F.coalesce(at_limit, F.lit(False))
-    fragment = ~no("known") & no("inner")
+    cues = materialize(_complete(tails, open_, counts, p), "cues")
+
+    out = open_
+    for dimension, on in ((words, ["final"]), (materialize(two, "two"), ["before", "final"]), (cues, ["cue"]), (_limits(tails, p), ["key"])):
+        out = join_dimension(out.withColumn("key", _key()) if on == ["key"] else out, dimension, on, "left")
+    no = lambda c: F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(False))
+    state, closed = F.col("state"), F.col("closed")
+    complete = F.when(state == "advert", no("seen") | closed).otherwise(no("title"))
+    fragment = ~no("known") & no("inner") & ~complete
+    at_limit = no((no("by_chars") & (F.col("chars") > F.col("max_chars") - p.near)) | (no("by_bytes") & (F.col("bytes") > F.col("max_bytes") - p.near)))
     pair_ends = F.when(F.col("pn") >= p.pairs, F.col("pe") >= p.ends * F.col("pn")).otherwise(F.coalesce(F.col("we") >= p.ends * F.col("wn"), F.lit(True)))
     # behind a line end only words that plainly never end a sentence tell
     never = F.coalesce((F.col("pn") >= p.pairs) & (F.col("pe") == 0) & (F.col("we") < p.ends * F.col("wn")), F.lit(False))
-    cut = (
-        F.when(F.col("verdict") == "cut", F.lit(True))
-        .when(F.col("verdict") == "whole", F.lit(False))
-        .when(F.col("verdict") == "advert", ~no("seen") & ~F.col("closed"))
-        .when(F.col("verdict") == "title", ~no("title"))
-        .when(F.col("verdict") == "pause", at_limit | fragment)
-        .when(no("title"), F.lit(False))
-        .otherwise(F.when(F.col("closed"), never).otherwise(at_limit | fragment | ~pair_ends))
-    )
-    return out.select("doc_id", "source", F.coalesce(cut, F.lit(False)).alias("cut"))
+    unended = F.when(state.isin("advert", "title"), ~complete).when((state == "words") & ~complete, F.when(closed, never).otherwise(~pair_ends))
+    told = out.select("doc_id", "source", fragment.alias("trie"), (at_limit & ~complete).alias("length"), no(unended).alias("sentence"), (state == "broken").alias("structure"))
+    false = F.lit(False)
+    return told.unionByName(tails.filter("state = 'whole'").select("doc_id", "source", *[false.alias(c) for c in EVIDENCE]))
+
+
+def _words(finals: DataFrame, pairs: DataFrame, p: Rules) -> DataFrame:
+    """Of each asked token: wn and we (occurrences among punctuated words, and at sentence ends), known, and inner: it is a node of the trie.
+
+    Nodes are the proper prefixes, up to ``head`` letters, of all known tokens; only those that are asked for are shuffled
+    on. Longer asked tokens are held against the known ones that begin with the same ``head`` letters.
+    """
+    vocabulary = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o")).filter(F.col("o") >= p.known)
+    vocabulary = materialize(vocabulary, "vocabulary")
+    longer = vocabulary.filter(F.length("b") > 1).select("b", "o")
+    nodes = longer.select("o", F.explode(F.expr(f"transform(sequence(1, least(length(b) - 1, {p.head})), k -> substring(b, 1, k))")).alias("final"))
+    asked = F.broadcast(finals) if small(finals) else finals
+    family = nodes.join(asked, "final", "left_semi").groupBy("final").agg(F.sum("o").alias("family"))
+    beyond = finals.filter(F.length("final") > p.head).withColumn("start", F.substring("final", 1, p.head))
+    rest = longer.filter(F.length("b") > p.head + 1).withColumn("start", F.substring("b", 1, p.head))
+    far = beyond.join(rest, (beyond["start"] == rest["start"]) & (F.length("b") > F.length("final")) & F.col("b").startswith(F.col("final")), "left_semi").select("final", F.lit(1).cast("long").alias("family"))
+    found = finals.join(vocabulary.withColumnRenamed("b", "final"), "final", "left").join(family.unionByName(far), "final", "left")
+    known = F.col("o").isNotNull() & (F.col("o") >= F.lit(p.family) * F.coalesce("family", F.lit(0)))
+    return found.select("final", *[F.when(F.col("n") >= p.known, F.col(c)).alias(f"w{c}") for c in ("n", "e")], known.alias("known"), F.col("family").isNotNull().alias("inner"))
+
+
+def _complete(tails: DataFrame, open_: DataFrame, counts: DataFrame, p: Rules) -> DataFrame:
+    """Last cues that are complete without a closing mark: (cue, seen, title). Copies of a text count once."""
+    texts = tails.count()
+    least = max(p.closing, p.closing_part * texts)
+    titles = open_.filter("state in ('title', 'words') and closed").groupBy("cue", "print").agg(F.lit(1).alias("one")).groupBy("cue").agg(F.count("*").alias("c")).filter(F.col("c") >= F.lit(least))
+    adverts = counts.filter("advert").filter(F.col("n") >= p.adverts).select(F.col("b").alias("cue"))
+    seen = adverts.join(open_.filter("state = 'advert'").select("cue").distinct(), "cue", "left_semi")
+    both = seen.withColumns({"s": F.lit(True), "t": F.lit(False)}).unionByName(titles.select("cue", F.lit(False).alias("s"), F.lit(True).alias("t")))
+    return both.groupBy("cue").agg(F.max("s").alias("seen"), F.max("t").alias("title"))
+
+
+EVIDENCE = ("trie", "length", "sentence", "structure")
+
+
+def cut_by(of: tuple[str, ...] = EVIDENCE) -> Column:
+    """Whether any of these kinds of evidence says that a text was cut."""
+    return reduce(Column.__or__, [F.col(c) for c in of])
+
+
+def find_truncated(documents: DataFrame, doc_id: str, source: str, text: str, p: Rules = Rules()) -> DataFrame:
+    """Every document with its verdict, (doc_id, source, cut), and the evidence that it rests on; see ``evidence``."""
+    return evidence(documents, doc_id, source, text, p).withColumn("cut", cut_by())
 
 
 def _key() -> Column:
@@ -276,5 +360,6 @@ def _limits(tails: DataFrame, p: Rules) -> DataFrame:
 
 
 def share_by_source(verdicts: DataFrame) -> DataFrame:
-    """Per source the documents, those cut off, and their share."""
-    return verdicts.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("cut").alias("cut"), F.avg(F.col("cut").cast("double")).alias("share"))
+    """Per source the documents, those cut off, their share, and how many each kind of evidence shows, alone or with others."""
+    each = [F.count_if(c).alias(f"by_{c}") for c in EVIDENCE]
+    return verdicts.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("cut").alias("cut"), F.avg(F.col("cut").cast("double")).alias("share"), *each)

@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 import pytest
 
-from colonnade.llm.truncation import Rules, find_truncated, share_by_source, tail
+from colonnade.llm.truncation import Rules, _words, evidence, find_truncated, share_by_source, tail
 
 RNG = random.Random(8)
 SENTENCES = ["I only wanted to polish the lantern.", "Where is the conductor?", "We leave for the harbour tomorrow.", "The magistrate says the kettle is empty.", "She borrowed the blanket near the chapel.", "Thank you.", "Come here!"]
@@ -14,28 +15,68 @@ def text(n, end="\n", lines=None):
 
 
 @pytest.mark.parametrize(
-    "end, verdict",
+    "end, state, final",
     [
-        ("\n\n12", "cut"),
-        ("\n\n12\n", "cut"),
-        ("\n\n12\n00:00:0", "cut"),
-        ("\n\n12\n00:00:01,000 --> 00:0...", "cut"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000", "cut"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n<i>I told you.", "cut"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n[door cre", "cut"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n♪ hey ho", "cut"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nListen,", "cut"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nFifty.", "whole"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n<i>I told you.</i>", "whole"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n[door creaks]\n", "whole"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nNo —", "whole"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nI told", "title"),
-        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nWell...", "pause"),
+        ("\n\n12", "header", "#"),
+        ("\n\n12\n", "header", "#"),
+        ("\n\n12\n00:00:0", "header", "#\n00:00:0"),
+        ("\n\n12\n00:00:01,000 --> 00:0...", "header", "#\n00:00:00,000 --> 00:0"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000", "header", "#\n00:00:00,000 --> 00:00:00,000"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n<i>I told you.", "broken", "you"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n[door cre", "broken", "cre"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n♪ hey ho", "broken", "ho"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nListen,", "broken", "listen"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nFifty.", "whole", "fifty"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n<i>I told you.</i>", "whole", "you"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n[door creaks]\n", "whole", "creaks"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nNo —", "whole", "no"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nI told", "title", "told"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\n1984", "title", "1984"),
+        ("\n\n12\n00:00:01,000 --> 00:00:02,000\nWell...", "pause", "well"),
     ],
 )
-def test_what_the_format_settles(end, verdict):
-    assert tail(text(8, "") + end)[0] == verdict
-    assert tail((text(8, "") + end).replace("\n", "\r\n"))[0] == verdict
+def test_how_a_text_ends(end, state, final):
+    for t in (text(8, "") + end, (text(8, "") + end).replace("\n", "\r\n")):
+        assert (tail(t)[0], tail(t)[2]) == (state, final)
+
+
+def brute(finals, tokens, p=Rules()):
+    """Unknown proper prefixes of known tokens, by comparing every pair."""
+    counts = Counter(tokens)
+    known = {t: n for t, n in counts.items() if n >= p.known}
+    out = set()
+    for f in finals:
+        family = sum(n for t, n in known.items() if t != f and t.startswith(f))
+        if family and known.get(f, 0) < max(p.known, p.family * family):
+            out.add(f)
+    return out
+
+
+def test_the_trie_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    tokens = [word(rng.randint(1, 5)) for _ in range(300)] + [word(3) + "x" * k for k in (60, 64, 65, 66, 90, 300)] * 2 + ["y" * 5000] * 2 + ["z"] + ["zebra"] * 9000
+    finals = [word(n) for n in (1, 2, 3, 4, 5, 6)] + [tokens[300 + k][: rng.randint(1, 64)] for k in range(6)] + [t[:-1] for t in tokens[300:306]] + tokens[300:306] + ["y" * 64, "y" * 65, "y" * 4999, "y" * 5000, "y" * 5001, "yx", "z", "zeb", "q"]
+    pairs = spark.createDataFrame([("", t, 0, 0, 1) for t in tokens], "a string, b string, n long, e long, o long")
+    found = _words(spark.createDataFrame([(f,) for f in set(finals)], "final string"), pairs, Rules()).collect()
+    assert len(found) == len(set(finals))
+    assert {r["final"] for r in found if r["inner"] and not r["known"]} == brute(finals, tokens)
+
+
+def test_the_trie_alone_finds_cuts_inside_words(spark):
+    rng = random.Random(13)
+    docs, inside = [], set()
+    for i in range(400):
+        t = text(rng.randint(8, 16), "")
+        if i % 2:
+            line = t.rindex("\n") + 1
+            ends = [k for k in range(line + 2, len(t) - 2) if t[k - 1].isalpha() and t[k].isalpha() and t[k - 2].isalpha()]
+            t = t[: rng.choice(ends)] if ends else t
+            inside |= {i} if ends else set()
+        docs.append((i, "plain", t))
+    found = evidence(spark.createDataFrame(docs, "doc_id long, source string, text string"), "doc_id", "source", "text").filter("trie").collect()
+    found = {r["doc_id"] for r in found}
+    assert len(found & inside) >= 0.9 * len(inside) and found <= inside
 
 
 def test_odd_texts():
@@ -78,6 +119,7 @@ def test_find_truncated(spark, corpus):
     assert {r["doc_id"] for r in rows if r["cut"]} == cut
     shares = {r["source"]: r for r in share_by_source(verdicts).collect()}
     assert set(shares) == {"plain", "field", None} and shares["field"]["documents"] == 100
+    assert shares["field"]["by_length"] > 0.8 * shares["field"]["cut"] and shares["plain"]["by_length"] == 0
     assert find_truncated(df.limit(0), "d", "cue", "final", Rules()).count() == 0
 
 
