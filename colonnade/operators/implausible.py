@@ -4,12 +4,14 @@ Each source's readings are split into trend, season and residual by robust stati
 
 * levels (prices): trend is the median of the neighbours before and that of the neighbours after a bar; the residual of a
   bar is its distance, in logarithms, from the nearer of the two, and 0 if it lies between them. A lasting move has its
-  neighbours on one side and no residual; only what is soon gone again has one. Levels have no season within a day.
-* amounts (volumes): trend is the source's median, season its own median profile over the time of day, both of logarithms.
-  A period with few bars of the source leans on the profile of all sources.
-
-A residual counts in units of the source's own robust scale and is held against the limit of the generalised extreme
-studentised deviate test for its rank. Constant runs and impossible values are separate checks.
+  neighbours on one side and no residual; only what is soon gone again has one. So short a trend follows any season.
+* amounts (volumes): trend is the source's median, moved towards that of the segment as far as its bars allow, season the
+  source's own median profile over the time of day, both of logarithms.
+
+Where a source has few bars its scale, season and tail lean on those of all sources, each source counting once. A residual
+counts in units of its source's robust scale and is flagged beyond the limit of the generalised extreme studentised deviate
+test for its rank. That limit comes from the normal distribution; how much heavier the residuals' tails are is read off their
+own quantiles. Constant runs and impossible values are separate checks.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -32,20 +35,10 @@ from colonnade.runtime import join_dimension, materialize, partitions
 
 @dataclass(frozen=True)
 class Limits:
-    """Parameters. ``alpha`` is the level of the deviate test; the others say how far beyond ordinary noise a case must be."""
-
-    alpha: float = 0.05
-    #: residuals have heavier tails than the normal distribution: its critical values are multiplied by this
-    level_tail: float = 3.2
-    amount_tail: float = 1.1
-    #: least studentised residual of a case, whatever the size of the source
-    level_least: float = 14.0
-    amount_least: float = 5.2
-    #: below ``amount_sure`` a high amount must besides be this many times the highest of the source's other amounts, which
-    #: are looked for above ``amount_seen``
-    amount_sure: float = 6.2
-    amount_gap: float = 3.5
-    amount_seen: float = 2.0
+    """Parameters. The alphas are the levels of the deviate test: the chance that a source of plain readings has any flagged."""
+
+    level_alpha: float = 1e-7
+    amount_alpha: float = 1e-4
     #: neighbours on each side that make the trend
     neighbours: int = 5
     #: least number of bars in a stuck run, and its least multiple of the source's usual longest run
@@ -55,9 +48,12 @@ class Limits:
     #: hardly moves; its runs are quiet spells
     stuck_repeats: float = 0.35
     idle: float = 0.1
-    #: moves and amounts of a source that weigh as much as the pooled scale of all sources
+    #: moves and amounts of a source that weigh as much as the pooled scale, season and tail of all sources; bars of a
+    #: segment that weigh as much as the source's median
     level_prior: float = 4.0
     amount_prior: float = 120.0
+    tail_prior: float = 500.0
+    trend_prior: float = 200.0
     #: periods of the day that the season has, and the length of the day
     seasons: int = 26
     day: int = 23_400
@@ -75,8 +71,11 @@ def _feature_schema(source: str, segment: str, row: str, df: DataFrame, levels:
             T.StructField("impossible", T.BooleanType()),
             *[x for i in range(len(levels)) for x in (T.StructField(f"gap{i}", T.FloatType()), T.StructField(f"move{i}", T.FloatType()), T.StructField(f"run{i}", T.IntegerType()), T.StructField(f"own{i}", T.BooleanType()))],
             T.StructField("amount", T.FloatType()),
+            T.StructField("local", T.FloatType()),
+            T.StructField("locals", T.IntegerType()),
             T.StructField("idle", T.BooleanType()),
             T.StructField("arun", T.IntegerType()),
+            T.StructField("reading", df.schema["reading"].dataType),
         ]
     )
 
@@ -107,6 +106,16 @@ def _side_medians(x: np.ndarray, group: np.ndarray, w: int) -> tuple[np.ndarray,
     return out
 
 
+def _medians(x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median (NaN where there is none) and number of the values of each row's group, NaN left out."""
+    order = np.lexsort((x, group))  # NaN last
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(x) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(np.isfinite(x).astype(np.int64), starts) if len(x) else starts
+    s = x[order]
+    middle = (s[starts + np.maximum(counts - 1, 0) // 2] + s[starts + np.maximum(np.minimum(counts // 2, counts - 1), 0)]) / 2
+    return middle[group], counts[group]
+
+
 def _runs(value: np.ndarray, usable: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Length of the run of equal values, over usable bars of a group, that each bar lies in; 0 where not usable."""
     at = np.flatnonzero(usable)
@@ -194,6 +203,7 @@ def _features(source: str, segment: str, time: str, row: str, levels: list[str],
         run = _runs(np.nan_to_num(value), value > 0, g)
         with np.errstate(divide="ignore", invalid="ignore"):
             out["amount"] = np.where(there & (x > 0), np.log(x), np.nan).astype(np.float32)
+        out["local"], out["locals"] = _medians(np.where(fresh, out["amount"], np.nan), group)
         out["idle"] = there & (x == 0)
         out["arun"] = np.where(there & (x > 0), run[bar], 0).astype(np.int32)
         out["bin"] = np.clip((second - 1) * p.seasons // p.day, 0, p.seasons - 1).astype(np.int8)
@@ -204,6 +214,8 @@ def _features(source: str, segment: str, time: str, row: str, levels: list[str],
                 arrays.append(col(source))
             elif f.name == "rid":
                 arrays.append(col(row))
+            elif f.name == "reading":
+                arrays.append(col("reading"))
             elif pa.types.is_floating(f.type):
                 arrays.append(pa.array(out[f.name], f.type, from_pandas=True))
             else:
@@ -213,19 +225,20 @@ def _features(source: str, segment: str, time: str, row: str, levels: list[str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole segments only: the last segment of what is held waits for more rows."""
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, enough = 0, 100_000
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(b)
             rows += b.num_rows
-            if rows >= 100_000:
+            if rows >= enough:
                 t = pa.Table.from_batches(held).combine_chunks()
                 cut = int(run_starts([t.column(source).chunk(0), t.column(segment).chunk(0)])[-1])
                 if cut:
                     yield block(t.slice(0, cut))
                     t = t.slice(cut)
                 held, rows = t.to_batches(), t.num_rows
+                enough = max(100_000, 2 * rows)  # a long segment is put together a few times only
         if held:
             yield block(pa.Table.from_batches(held))
 
@@ -244,53 +257,93 @@ def esd_critical(m: float, alpha: float) -> float:
     return (m - 1) * t / math.sqrt((d + t * t) * m)
 
 
-def esd_limit(n: Column, rank: Column, alpha: float) -> Column:
-    """The critical value for the rank-th largest of n residuals, for sizes in steps of 10 percent, rounded down."""
+def _beyond(t: float, v: float) -> float:
+    """Chance that Student's t with v degrees of freedom is above t > 0: half the incomplete beta function, by its continued fraction."""
+    x, a, b = v / (v + t * t), v / 2, 0.5
+    turned = x > (a + 1) / (a + b + 2)
+    if turned:
+        x, a, b = 1 - x, b, a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 500):
+        for e in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + e * d), 1 + e / c
+            h *= c * d
+        if abs(c * d - 1) < 1e-12:
+            break
+    part = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) * h / a
+    return (1 - part if turned else part) / 2
+
+
+def deviate_limit(m: float, alpha: float, prior: float = 0.0) -> float:
+    """The limit of the deviate test for the most extreme of m residuals whose scale isn't drawn from the tested one.
+
+    Student's quantile at 1 - alpha / (2 m). ``esd_critical`` is the same test for residuals studentised by a deviation that
+    the tested one is part of; a median of absolute deviations isn't. ``prior`` pooled values besides stand behind the scale.
+    """
+    m = max(m, 2.0)
+    p, v = alpha / (2 * m), max(m - 2 + prior, 1.0)
+    if v > 200:
+        z = -NormalDist().inv_cdf(p)
+        return z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v)
+    low, high = 0.0, 1.0
+    while _beyond(high, v) > p:
+        high *= 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _beyond(middle, v) > p else (low, middle)
+    return high
+
+
+def esd_limit(n: Column, rank: Column | int, alpha: float, prior: float = 0.0) -> Column:
+    """The limit for the rank-th largest of n residuals, for sizes in steps of 10 percent, rounded down."""
     step = math.log(1.1)
-    table = F.array(*[F.lit(esd_critical(math.exp(k * step), alpha)) for k in range(330)])
+    table = F.array(*[F.lit(deviate_limit(math.exp(k * step), alpha, prior)) for k in range(330)])
     m = F.greatest(n - rank + F.lit(1), F.lit(1)).cast("double")
     return F.element_at(table, (F.floor(F.log(m) / F.lit(step)) + 1).cast("int"))
 
 
+#: quantiles at which tails are read off, and the normal distribution's values there
+TAIL = (0.9, 0.99)
+NORMAL = tuple(NormalDist().inv_cdf(q) for q in TAIL)
+
+
 def _cutoffs(scored: DataFrame, tests: list[tuple[str, float, float, str]], p: Limits) -> DataFrame:
     """The least flagged score of each source and test, (source, cut_<score>...): ranks come from counts in buckets of the score.
 
-    Only scores above the test's least count, of rows that the test's last column names; there are at most a few thousand buckets a source, whatever its size.
+    Scores are such that the limit of the test is that of normal residuals. Only rows that the test's last column names are
+    counted, and of those only scores that any rank could flag; there are at most a few thousand buckets a source, whatever its size.
     """
-    each = F.array(*[F.struct(F.lit(i).alias("test"), F.when(F.col(c), F.col(z)).alias("z"), F.lit(tail).alias("tail"), F.lit(least).alias("least")) for i, (z, tail, least, c) in enumerate(tests)])
-    high = scored.select("source", "n", F.explode(each).alias("e")).select("source", "n", "e.*").filter("z >= least")
+    each = F.array(*[F.struct(F.lit(i).alias("test"), F.when(F.col(c), F.col(z)).alias("z")) for i, (z, _, _, c) in enumerate(tests)])
+    high = scored.select("source", "n", F.explode(each).alias("e")).select("source", "n", "e.*").filter("z > 1")
     high = high.withColumn("b", F.floor(F.log("z") / F.lit(math.log1p(p.width))).cast("int"))
-    counts = high.groupBy("source", "test", "b").agg(F.count("*").alias("c"), F.min("z").alias("low"), F.max("n").alias("n"), F.max("tail").alias("tail"))
+    counts = high.groupBy("source", "test", "b").agg(F.count("*").alias("c"), F.min("z").alias("low"), F.max("n").alias("n"))
     w = Window.partitionBy("source", "test").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("rank", F.sum("c").over(w))
-    passed = counts.filter(F.col("low") > F.col("tail") * esd_limit(F.col("n"), F.col("rank"), p.alpha))
+    limit = F.lit(None)
+    for i, (_, alpha, prior, _) in enumerate(tests):
+        limit = F.when(F.col("test") == i, esd_limit(F.col("n"), F.col("rank"), alpha, prior)).otherwise(limit)
+    passed = counts.filter(F.col("low") > limit)
     return passed.groupBy("source").agg(*[F.min(F.when(F.col("test") == i, F.col("low"))).alias(f"cut_{z}") for i, (z, *_) in enumerate(tests)])
 
 
-def _standing_out(flagged: DataFrame, p: Limits) -> DataFrame:
-    """(source, apart): the least amount beyond its limit with a gap below it, by buckets of the amount, few for each source."""
-    over = F.coalesce(F.col("za") >= F.col("cut_za"), F.lit(False))
-    seen = flagged.filter("za is not null").withColumn("b", F.floor(F.col("amount") / F.lit(math.log1p(p.width))).cast("int"))
-    buckets = seen.groupBy("source", "b").agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"), F.max(over).alias("over"))
-    below = F.lead("hi").over(Window.partitionBy("source").orderBy(F.col("b").desc()))
-    gap = F.coalesce(F.col("lo") - F.col("below") >= F.lit(math.log(p.amount_gap)), F.lit(True))
-    return buckets.withColumn("below", below).filter(F.col("over") & gap).groupBy("source").agg(F.min("lo").alias("apart"))
-
-
 def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, levels: list[str], amount: str, limits: Limits = Limits()) -> DataFrame:
     """Rows that hold an implausible reading: (row, impossible, spike, stuck).
 
     ``time`` is an integer, ``levels`` are floating, ``amount`` is an integer; a segment (a day) is a bounded stretch of time.
     Rows without source, segment or time, or with a time outside 1..limits.day, are not judged. Nulls are no readings and are
-    passed over. Of rows with the same source, segment and time the first (by row) counts once in all statistics; the others
-    are judged by their own values against the neighbours of that time. Sources with few readings lean on the pooled scale of all. An empty table gives no rows.
+    passed over. Rows with the same source, segment, time and values are one reading sent again, folded before the shuffle and
+    given one verdict. Of different readings of the same time the first (by row) counts in all statistics; the others are
+    judged by their own values against the neighbours of that time. Sources with few readings lean on the pooled scale of all.
+    An empty table gives no rows.
     """
     p, c = limits, (lambda name: F.col(f"`{name}`"))
-    spark = df.sparkSession
-    slim = df.filter(c(source).isNotNull() & c(segment).isNotNull() & c(time).between(1, p.day)).select(*[c(x) for x in (source, segment, time, row, *levels, amount)])
-    schema = _feature_schema(source, segment, row, df, levels, amount)
-    # a segment has at most as many times as its length, so no task holds more, however many rows its source has
-    feats = slim.repartition(partitions(spark), c(source), c(segment)).sortWithinPartitions(source, segment, time, row).mapInArrow(_features(source, segment, time, row, levels, amount, p, to_arrow_schema(schema)), schema)
+    names = [source, segment, time, *levels, amount]
+    slim = df.filter(c(source).isNotNull() & c(segment).isNotNull() & c(time).between(1, p.day)).select(c(row), F.struct(*[c(x) for x in names]).alias("reading"))
+    readings = slim.groupBy("reading").agg(F.min(c(row)).alias(row)).select(row, "reading", *[F.col(f"reading.`{x}`").alias(x) for x in names])
+    schema = _feature_schema(source, segment, row, readings, levels, amount)
+    # a segment has at most as many times as its length, so no task holds more than its different readings, however many rows its source has
+    feats = readings.repartition(partitions(df), c(source), c(segment)).sortWithinPartitions(source, segment, time, row).mapInArrow(_features(source, segment, time, row, levels, amount, p, to_arrow_schema(schema)), schema)
     feats = materialize(feats, "features")
 
     k = len(levels)
@@ -299,6 +352,7 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     stats = bars.groupBy("source").agg(
         F.count("*").alias("n"),
         *[F.percentile_approx(moving(i), 0.5, 500).alias(f"step{i}") for i in range(k)],
+        *[F.percentile_approx(f"gap{i}", list(TAIL), 500).alias(f"tail{i}") for i in range(k)],
         *[F.count(moving(i)).alias(f"moves{i}") for i in range(k)],
         *[F.count(f"move{i}").alias(f"steps{i}") for i in range(k)],
         *[F.greatest(F.max(f"run{i}"), F.lit(1)).alias(f"longest{i}") for i in range(k)],
@@ -317,52 +371,62 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
         stats = stats.withColumn(f"scale{i}", F.coalesce(F.exp(share * F.log(own) + (1 - share) * F.log(pool)), pool) * 1.4826)
         stats = stats.withColumn(f"repeats{i}", _repeats(F.col(f"steps{i}") - F.col(f"moves{i}"), F.col(f"steps{i}"), F.col(f"longest{i}") - 1))
     stats = stats.withColumn("repeats", _repeats(F.col("same_amounts"), F.col("amounts"), F.col("longest") - 1))
+    tails = stats.agg(*[F.percentile_approx(F.when(F.col(f"moves{i}") > 0, F.col(f"tail{i}")[j] / F.col(f"scale{i}")), 0.5, 1000).alias(f"t{i}{j}") for i in range(k) for j in (0, 1)]).first()
     stats = materialize(stats.select("source", "n", "mid", "quiet", "repeats", *[x for i in range(k) for x in (f"scale{i}", f"repeats{i}")]), "scales")
 
-    # amounts: the season is the source's median profile around its median, few bars of a period leaning on that of all sources;
-    # then its spread about it
-    about = join_dimension(feats.select("source", "rid", "bin", "first", "amount").filter("amount is not null"), stats.select("source", "mid"), ["source"], "inner").withColumn("r", F.col("amount") - F.col("mid"))
-    pooled_season = about.filter("first").groupBy("bin").agg(F.percentile_approx("r", 0.5, 1000).alias("season"))
-    profile = {r["bin"]: float(r["season"]) for r in pooled_season.collect()}  # one value for each of the day's periods
-    own = about.filter("first").groupBy("source", "bin").agg(F.percentile_approx("r", 0.5, 500).alias("own"), F.count("*").alias("rs"))
+    # amounts: the season is the source's median profile around its trend, few bars of a period leaning on the median of the
+    # sources' profiles; then its spread about it
+    local = F.col("locals") / (F.col("locals") + F.lit(p.trend_prior))
+    detrended = F.col("amount") - F.col("mid") - F.coalesce(local * (F.col("local") - F.col("mid")), F.lit(0.0))
+    about = join_dimension(bars.select("source", "bin", "amount", "local", "locals").filter("amount is not null"), stats.select("source", "mid"), ["source"], "inner").select("source", "bin", detrended.alias("r"))
+    own = materialize(about.groupBy("source", "bin").agg(F.percentile_approx("r", 0.5, 500).alias("own"), F.count("*").alias("rs")), "profiles")
+    profile = {r["bin"]: float(r["season"]) for r in own.groupBy("bin").agg(F.percentile_approx("own", 0.5, 1000).alias("season")).collect()}  # one value for each of the day's periods
     weight = F.col("rs") / (F.col("rs") + F.lit(p.amount_prior))
     season = lambda b: F.coalesce(F.max(F.when(F.col("bin") == b, weight * F.col("own") + (1 - weight) * F.lit(profile.get(b, 0.0)))), F.lit(profile.get(b, 0.0)))
     seasons = materialize(own.groupBy("source").agg(F.array(*[season(b) for b in range(p.seasons)]).cast("array<float>").alias("seasons")), "seasons")
     seasonal = F.element_at("seasons", F.col("bin").cast("int") + 1)
-    about = join_dimension(about, seasons, ["source"], "inner")
-    about = about.withColumn("r", F.col("r") - seasonal)
-    spread = about.filter("first").groupBy("source").agg(F.percentile_approx(F.abs("r"), 0.5, 500).alias("mad"), F.count("*").alias("rs"))
+    residual = join_dimension(about, seasons, ["source"], "inner").select("source", (F.col("r") - seasonal).alias("r"))
+    spread = residual.groupBy("source").agg(F.percentile_approx(F.abs("r"), 0.5, 500).alias("mad"), F.percentile_approx("r", TAIL[1], 500).alias("high"), F.count("*").alias("rs"))
     spread = materialize(spread, "spread")
     pool = float(spread.agg(F.percentile_approx("mad", 0.5, 500)).first()[0] or 0.35)
-    lean = F.col("rs") / (F.col("rs") + F.lit(p.amount_prior))
-    spread = spread.select("source", (1.4826 * F.greatest(lean * F.col("mad") + (1 - lean) * F.lit(pool), F.lit(0.1))).alias("spread"))
+    lean = lambda prior: F.col("rs") / (F.col("rs") + F.lit(prior))
+    spread = spread.withColumn("spread", 1.4826 * F.greatest(lean(p.amount_prior) * F.col("mad") + (1 - lean(p.amount_prior)) * F.lit(pool), F.lit(0.1)))
+    high = float(spread.agg(F.percentile_approx(F.col("high") / F.col("spread"), 0.5, 1000)).first()[0] or NORMAL[1])
+    heavier = F.greatest((lean(p.tail_prior) * F.col("high") / F.col("spread") + (1 - lean(p.tail_prior)) * F.lit(high)) / F.lit(NORMAL[1]), F.lit(1.0))
+    spread = spread.select("source", (F.col("spread") * heavier).alias("spread"))
 
-    whole = join_dimension(feats, stats.join(spread, "source", "left").join(seasons, "source", "left"), ["source"], "inner")
+    whole = join_dimension(feats, materialize(stats.join(spread, "source", "left").join(seasons, "source", "left"), "judged"), ["source"], "inner")
     scored = whole.select(
         "source",
         "rid",
+        "reading",
         "first",
         "impossible",
         "n",
-        "amount",
         *[f"own{i}" for i in range(k)],
-        *[(F.col(f"gap{i}") / F.col(f"scale{i}")).alias(f"z{i}") for i in range(k)],
-        ((F.col("amount") - F.col("mid") - seasonal) / F.col("spread")).alias("za"),
+        *[_as_normal(F.col(f"gap{i}") / F.col(f"scale{i}"), tails[f"t{i}0"], tails[f"t{i}1"]).alias(f"z{i}") for i in range(k)],
+        ((detrended - seasonal) / F.col("spread")).alias("za"),
         _stuck([(f"run{i}", f"repeats{i}") for i in range(k)] + [("arun", "repeats")], p).alias("stuck"),
     )
-    # only rows that any check may flag go on, and the higher of the other amounts; ranks count scores above the least limit
-    may = F.col("impossible") | F.col("stuck") | (F.coalesce("za", F.lit(0.0)) >= p.amount_seen)
-    for i in range(k):
-        may |= F.coalesce(f"z{i}", F.lit(0.0)) >= p.level_least
+    tests = [*[(f"z{i}", p.level_alpha, p.level_prior, f"ranked{i}") for i in range(k)], ("za", p.amount_alpha, p.amount_prior, "first")]
+    # only rows that any check may flag go on: the test goes down to half of a source's bars
+    may = F.col("impossible") | F.col("stuck")
+    for z, alpha, prior, _ in tests:
+        may |= F.coalesce(F.col(z) > esd_limit(F.col("n"), F.ceil(F.col("n") / 2), alpha, prior), F.lit(False))
     scored = materialize(scored.filter(may), "scored")
-    tests = [*[(f"z{i}", p.level_tail, p.level_least, f"ranked{i}") for i in range(k)], ("za", p.amount_tail, p.amount_least, "first")]
     ranked = scored.withColumns({f"ranked{i}": F.col("first") | F.col(f"own{i}") for i in range(k)})
     flagged = join_dimension(scored, materialize(_cutoffs(ranked, tests, p), "cutoffs"), ["source"], "left")
-    flagged = join_dimension(flagged, materialize(_standing_out(flagged.filter("first"), p), "apart"), ["source"], "left")
-    spike = F.coalesce((F.col("za") >= F.col("cut_za")) & ((F.col("za") >= p.amount_sure) | (F.col("amount") >= F.col("apart"))), F.lit(False))
-    for i in range(k):
-        spike |= F.coalesce(F.col(f"z{i}") >= F.col(f"cut_z{i}"), F.lit(False))
-    return flagged.select(F.col("rid").alias(row), "impossible", spike.alias("spike"), "stuck").filter("impossible or spike or stuck")
+    spike = reduce(Column.__or__, [F.coalesce(F.col(z) >= F.col(f"cut_{z}"), F.lit(False)) for z, *_ in tests])
+    found = materialize(flagged.select("reading", "impossible", spike.alias("spike"), "stuck").filter("impossible or spike or stuck"), "found")
+    return join_dimension(slim, found, ["reading"], "inner").select(c(row), "impossible", "spike", "stuck")
+
+
+def _as_normal(z: Column, near: float | None, far: float | None) -> Column:
+    """A residual as the normal deviate that is as far out: z = far (u / NORMAL[1])^b goes through both quantiles read off, b at least 1."""
+    if not near or not far or far <= near:
+        return z
+    b = max(math.log(far / near) / math.log(NORMAL[1] / NORMAL[0]), 1.0)
+    return F.lit(NORMAL[1]) * F.pow(z / F.lit(far), F.lit(1 / b))
 
 
 def _repeats(same: Column, of: Column, longest: Column) -> Column:
