@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade import schema
 from colonnade.operators.positions import ranked
@@ -39,18 +40,28 @@ def id_column(df: DataFrame, name: str, order: str) -> DataFrame:
     if name in df.columns:
         raise ValueError(f"there is a column {name}")
     numbered = ranked(df.withColumn("__all", F.lit(0)), ["__all"], [(order, False)], "__at")
-    return schema.annotate(numbered.drop("__all").withColumn(name, (F.col("__at") - 1).cast("int")).drop("__at"), name, row_id=True)
+    return schema.annotate(numbered.drop("__all").withColumn(name, F.col("__at") - 1).drop("__at"), name, row_id=True)
 
 
 def cbind(frame: DataFrame, name: str, vector: DataFrame, value: str, row: str, label: bool = False) -> DataFrame:
-    """Binds a vector by row number. The name must be new and both sides must hold the same rows, else it raises."""
+    """Binds a vector by row number. The name must be new and both sides must hold the same rows, each once, else it raises.
+
+    Both sides are folded by row number in one shuffle, which shows rows that one side lacks or that repeat; a missing row
+    number raises too. Numbers of rows are compared at once, the rows themselves when the frame is read.
+    """
     if name in frame.columns:
         raise ValueError(f"there is a column {name}")
     n, m = frame.count(), vector.count()
     if n != m:
         raise ValueError(f"a vector of {m} rows can't be bound to a frame of {n}")
-    bound = frame.join(vector.select(row, F.col(f"`{value}`").alias(name)), row, "inner")
-    return schema.annotate(bound.select(*frame.columns, name), name, label=label or None)
+    left = frame.select(F.col(f"`{row}`").alias("__row"), F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("__left"), F.lit(None).cast(T.StructType([T.StructField("v", vector.schema[value].dataType)])).alias("__right"))
+    right = vector.select(F.col(f"`{row}`").cast(frame.schema[row].dataType).alias("__row"), F.lit(None).cast(left.schema["__left"].dataType).alias("__left"), F.struct(F.col(f"`{value}`").alias("v")).alias("__right"))
+    both = left.unionByName(right).groupBy("__row").agg(F.count("__left").alias("__n"), F.count("__right").alias("__m"), F.first("__left", True).alias("__left"), F.first("__right", True).alias("__right"))
+    whole = F.col("__row").isNotNull() & (F.col("__n") == 1) & (F.col("__m") == 1)
+    message = F.concat(F.lit("row "), F.coalesce(F.col("__row").cast("string"), F.lit("null")), F.lit(" stands "), F.col("__n").cast("string"), F.lit(" times in the frame and "), F.col("__m").cast("string"), F.lit(" times in the vector"))
+    bound = both.filter(F.when(whole, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    columns = [F.col("__left").getField(c).alias(c, metadata=frame.schema[c].metadata or {}) for c in frame.columns]
+    return schema.annotate(bound.select(*columns, F.col("__right.v").alias(name, metadata=vector.schema[value].metadata or {})), name, label=label or None)
 
 
 def append(first: DataFrame, second: DataFrame, row: str) -> DataFrame:
@@ -83,4 +94,5 @@ def sorted_columns(df: DataFrame) -> list[str]:
 
 
 def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of a frame's size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
