@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from colonnade.operators.positions import run_starts
-from colonnade.runtime import partitions
+from colonnade.runtime import materialize, partitions
 
 
 def _part_states(key: str, total: str, edge: str, schema: pa.Schema):
@@ -40,12 +40,14 @@ def _part_states(key: str, total: str, edge: str, schema: pa.Schema):
             low, high = np.add.reduceat(v & 0xFFFFFFFF, starts), np.add.reduceat(v >> 32, starts)
             there = np.flatnonzero(usable.is_valid().to_numpy(zero_copy_only=False))
             a, z = np.searchsorted(there, starts), np.searchsorted(there, ends) - 1
-            first = [usable[int(there[i])].as_py() if i <= j else None for i, j in zip(a, z)]
-            last = [usable[int(there[j])].as_py() if i <= j else None for i, j in zip(a, z)]
-            names = keys.take(pa.array(starts)).to_pylist()
-            states = [
-                {"key": names[i], "part": part, "rows": int(rows[i]), "known": int(known[i]), "low": int(low[i]), "high": int(high[i]), "first": first[i], "last": last[i]} for i in range(len(starts))
-            ]
+            # no usable edge within the run: the place is masked, and what is taken there is null
+            none = a > z
+            first = usable.take(pa.array(there[np.minimum(a, len(there) - 1)] if len(there) else np.zeros(len(starts), np.int64), mask=none))
+            last = usable.take(pa.array(there[np.maximum(z, 0)] if len(there) else np.zeros(len(starts), np.int64), mask=none))
+            names = keys.take(pa.array(starts))
+            # only the last run may go on; those before it leave as columns
+            done = pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([names, pa.array(np.full(len(starts), part)), *[pa.array(x) for x in (rows, known, low, high)], first, last], schema)], schema=schema)
+            states = [done.slice(0, 1).to_pylist()[0]]
             if held is not None:
                 if held["key"] == states[0]["key"]:
                     s = states[0]
@@ -55,9 +57,13 @@ def _part_states(key: str, total: str, edge: str, schema: pa.Schema):
                     s["last"] = s["last"] if s["last"] is not None else held["last"]
                 else:
                     yield emit([held])
-            held = states.pop()
-            if states:
+            if len(starts) > 1:
                 yield emit(states)
+                if len(starts) > 2:
+                    yield done.slice(1, len(starts) - 2)
+                held = done.slice(len(starts) - 1, 1).to_pylist()[0]
+            else:
+                held = states[0]
         if held is not None:
             yield emit([held])
 
@@ -75,7 +81,6 @@ def per_key_summary(df: DataFrame, key: str, order: list[str], total: str, edge:
     A null key is a key of its own (its rows are part of the whole); an empty table gives no rows. Columns: key, n_rows,
     n_known, total, first, last, share, parts. ``share`` is the key's part of all rows, ``parts`` the tasks that held it.
     """
-    spark = df.sparkSession
     kind = df.schema[edge].dataType
     value = F.col(f"`{edge}`")
     usable = F.when(~F.isnan(value), value) if isinstance(kind, (T.FloatType, T.DoubleType)) else value
@@ -86,7 +91,7 @@ def per_key_summary(df: DataFrame, key: str, order: list[str], total: str, edge:
         [T.StructField("key", df.schema[key].dataType), T.StructField("part", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("rows", "known", "low", "high")], T.StructField("first", kind), T.StructField("last", kind)]
     )
     states = (
-        slim.repartitionByRange(partitions(spark), *by)
+        slim.repartitionByRange(partitions(df), *by)
         .sortWithinPartitions(*by)
         .select("__k", "__t", "__e")
         .mapInArrow(_part_states("__k", "__t", "__e", to_arrow_schema(schema)), schema)
@@ -99,7 +104,8 @@ def per_key_summary(df: DataFrame, key: str, order: list[str], total: str, edge:
         F.max_by("last", F.when(F.col("last").isNotNull(), F.col("part"))).alias("last"),
         F.count("*").alias("parts"),
     )
-    everything = max(df.count(), 1)
+    whole = materialize(whole, "summary")  # one row for each key
+    everything = max(whole.agg(F.sum("n_rows")).first()[0] or 0, 1)
     return whole.withColumn("share", F.col("n_rows") / F.lit(everything)).select("key", "n_rows", "n_known", "total", "first", "last", "share", "parts")
 
 

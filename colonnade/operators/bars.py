@@ -39,8 +39,8 @@ def running_bars(df: DataFrame, column: str, row: str, size: int, where: Column
         "sum": F.sum(v),
         "sumSquares": F.sum(v * v),
     }
-    out = _binned(rows, ["__all"], ["__row"], size).groupBy("__bin").agg(F.max("__at").cast("string").alias("name"), F.min(v).alias("binMin"), F.max(v).alias("binMax"), F.count("*").cast("int").alias("binCount"), *[every[s].alias(s) for s in SUMMARIES if s in summaries])
-    return out.withColumn("binNumber", F.col("__bin").cast("short")).select("binNumber", "name", "binMin", "binMax", "binCount", *[s for s in SUMMARIES if s in summaries])
+    out = _binned(rows, ["__all"], ["__row"], size).groupBy("__bin").agg(F.max("__at").cast("string").alias("name"), F.min(v).alias("binMin"), F.max(v).alias("binMax"), F.count("*").alias("binCount"), *[every[s].alias(s) for s in SUMMARIES if s in summaries])
+    return out.withColumn("binNumber", F.col("__bin")).select("binNumber", "name", "binMin", "binMax", "binCount", *[s for s in SUMMARIES if s in summaries])
 
 
 def rebin_bars(bars: DataFrame, row: str, size: int) -> DataFrame:
@@ -54,9 +54,9 @@ def rebin_bars(bars: DataFrame, row: str, size: int) -> DataFrame:
         F.min("binMin").cast("float").alias("binMin"),
         F.max("binMax").cast("float").alias("binMax"),
         F.max_by("binClose", "__row").cast("float").alias("binClose"),
-        F.count("*").cast("int").alias("binCount"),
+        F.count("*").alias("binCount"),
     )
-    return out.select(F.col("__bin").cast("short").alias("binNumber"), "name", "binMin", "binMax", "binCount", "binOpen", "binClose")
+    return out.select(F.col("__bin").alias("binNumber"), "name", "binMin", "binMax", "binCount", "binOpen", "binClose")
 
 
 def rebar_symbols(bars: DataFrame, order: list[str], size: int, openings: DataFrame) -> DataFrame:
@@ -64,12 +64,12 @@ def rebar_symbols(bars: DataFrame, order: list[str], size: int, openings: DataFr
     first open, lowest low, highest high, last close, sum of the volumes, greatest second.
 
     ``openings`` (symbol, openingPrice) says which symbols come; one without a price has null prices in its opening row, one
-    without bars only that row. Bars without a symbol belong to none. Volumes that sum beyond an int raise.
+    without bars only that row. Bars without a symbol belong to none. Volumes are 64-bit sums.
     """
     if missing := set(BAR_COLUMNS) - set(bars.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
     price = F.col("openingPrice").cast("float")
-    first = openings.filter("symbol is not null").select("symbol", *[price.alias(c) for c in ("binOpen", "binMin", "binMax", "binClose")], F.lit(0).alias("binVolume"), F.lit(0).alias("second"), F.lit(-1).cast("long").alias("__bin"))
+    first = openings.filter("symbol is not null").select("symbol", *[price.alias(c) for c in ("binOpen", "binMin", "binMax", "binClose")], F.lit(0).cast("long").alias("binVolume"), F.lit(0).alias("second"), F.lit(-1).cast("long").alias("__bin"))
     keys = openings.select("symbol").distinct()
     rows = join_dimension(bars.filter("symbol is not null"), keys, ["symbol"], "inner").select(*BAR_COLUMNS, *[F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(order)])
     place = F.col("__at")
@@ -78,7 +78,7 @@ def rebar_symbols(bars: DataFrame, order: list[str], size: int, openings: DataFr
         F.min("binMin").cast("float").alias("binMin"),
         F.max("binMax").cast("float").alias("binMax"),
         F.max_by("binClose", place).cast("float").alias("binClose"),
-        F.coalesce(F.sum("binVolume"), F.lit(0)).cast("int").alias("binVolume"),
+        F.coalesce(F.sum("binVolume"), F.lit(0)).cast("long").alias("binVolume"),
         F.max("second").cast("int").alias("second"),
     )
     return first.unionByName(later).select("symbol", F.col("__bin").alias("bar"), "binOpen", "binMin", "binMax", "binClose", "binVolume", "second")

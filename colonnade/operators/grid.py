@@ -53,12 +53,21 @@ def regular_grid(readings: DataFrame, source: str, segment: str, time: str, valu
         slope = F.when(finite(F.col("v0")) & finite(F.col("v1")), (F.col("v1") - F.col("v0")) / (F.col("t1") - F.col("t0")))
         lead_in = slope * (F.col("t1") - F.greatest((F.col("period") - 1) * F.col("step"), F.col("t0")))
         lead_out = F.when(finite(F.col("v2")) & finite(F.col("vz")), (F.col("v2") - F.col("vz")) / (F.col("t2") - F.col("tz"))) * (F.least(F.col("period") * F.col("step"), F.col("t2")) - F.col("tz"))
-        own = cells.select("s", "g", "period", "n", F.col("vz").alias("value"), (F.when(finite(F.col("vz")) & finite(F.col("v1")), F.col("vz") - F.col("v1")).otherwise(F.lit(0.0)) + F.coalesce(lead_in, F.lit(0.0)) + F.coalesce(lead_out, F.lit(0.0))).alias("increment"), "resets", F.lit(True).alias("covered"))
-        gap = cells.filter(F.col("period") > F.col("p0") + 1)
-        gap = gap.withColumn("period", F.explode(F.sequence(F.col("p0") + 1, F.col("period") - 1)))
+        # each period with a reading brings those without one before it; one evaluation of the window for both
+        every = cells.withColumnRenamed("period", "p").withColumn("period", F.explode(F.expr("sequence(coalesce(p0 + 1, p), p)")))
+        covered = F.col("period") == F.col("p")
         end, begin = F.col("period") * F.col("step"), F.greatest((F.col("period") - 1) * F.col("step"), F.col("t0"))
-        filled = gap.select("s", "g", "period", F.lit(0).cast("long").alias("n"), (F.col("v0") + slope * (end - F.col("t0"))).alias("value"), (slope * (end - begin)).alias("increment"), "resets", F.lit(False).alias("covered"))
-        cells = own.unionByName(filled)
+        inside = F.when(finite(F.col("vz")) & finite(F.col("v1")), F.col("vz") - F.col("v1")).otherwise(F.lit(0.0)) + F.coalesce(lead_in, F.lit(0.0)) + F.coalesce(lead_out, F.lit(0.0))
+        cells = every.select(
+            "s",
+            "g",
+            "period",
+            F.when(covered, F.col("n")).otherwise(F.lit(0)).alias("n"),
+            F.when(covered, F.col("vz")).otherwise(F.col("v0") + slope * (end - F.col("t0"))).alias("value"),
+            F.when(covered, inside).otherwise(slope * (end - begin)).alias("increment"),
+            "resets",
+            covered.alias("covered"),
+        )
     else:
         times = slim.groupBy("s", "g", "t").agg(F.count("*").alias("n"), F.max("step").alias("step"), F.max(F.struct("tie", "v")).alias("z"))
         times = times.select("s", "g", "t", "n", "step", F.col("z.v").alias("v"))

@@ -23,13 +23,13 @@ def _value_bins(df: DataFrame, column: str, row: str | None, where: Column | Non
     v = F.col(f"`{column}`")
     rows = usable(selected(df, where), column)
     label = F.max_by(v, F.col(f"`{row}`")) if row else F.max(v)
-    return rows.groupBy(bucket(v, r).alias("key")).agg(F.count("*").cast("int").alias("binCount"), label.alias("value"))
+    return rows.groupBy(bucket(v, r).alias("key")).agg(F.count("*").alias("binCount"), label.alias("value"))
 
 
 def _numbered(bins: DataFrame) -> DataFrame:
     """At most VALUE_CAP rows, so one task numbers them."""
     w = Window.orderBy("key")
-    return bins.select((F.row_number().over(w) - 1).cast("short").alias("binNumber"), F.col("value").cast("string").alias("name"), F.col("value").alias("binMin"), F.col("value").alias("binMax"), "binCount")
+    return bins.select((F.row_number().over(w) - 1).cast("long").alias("binNumber"), F.col("value").cast("string").alias("name"), F.col("value").alias("binMin"), F.col("value").alias("binMax"), "binCount")
 
 
 def top_values(df: DataFrame, column: str, n: int, top: bool = True, row: str | None = None, where: Column | None = None, resolution: float | None = None) -> DataFrame:
@@ -139,17 +139,17 @@ def range_bins(df: DataFrame, column: str, k: int | None = None, low: Any = None
     if not (schema.is_real(df, column) or schema.is_integral(df, column)):
         raise TypeError(f"no range histogram of {kind.simpleString()}")
     spark = df.sparkSession
-    fields = [T.StructField("binNumber", T.ShortType()), T.StructField("name", T.StringType()), T.StructField("binMin", kind), T.StructField("binMax", kind)]
+    fields = [T.StructField("binNumber", T.LongType()), T.StructField("name", T.StringType()), T.StructField("binMin", kind), T.StructField("binMax", kind)]
     bins = Bins.of(df, column, k, low, high, resolution)
     v = F.col(f"`{column}`")
     rows = usable(selected(df, where), column)
     if bins is None or rows.limit(1).count() == 0:
         more = [T.StructField(c, T.DoubleType()) for c in ("binStatsMin", "binStatsMax", "binStatsMean", "binStatsStdev")] if stats else []
-        return spark.createDataFrame([], T.StructType([*fields, T.StructField("binCount", T.IntegerType()), *more]))
+        return spark.createDataFrame([], T.StructType([*fields, T.StructField("binCount", T.LongType()), *more]))
     d = v.cast("double")
     wide = "double" if bins.real else "long"
     aggregates = [F.count("*").alias("c")] + ([F.min(v).cast(wide).alias("binStatsMin"), F.max(v).cast(wide).alias("binStatsMax"), F.avg(d).alias("binStatsMean"), F.stddev_pop(d).alias("binStatsStdev")] if stats else [])
-    counted = rows.groupBy(bins.number(v).cast("short").alias("binNumber")).agg(*aggregates)
+    counted = rows.groupBy(bins.number(v).alias("binNumber")).agg(*aggregates)
     dimension = spark.createDataFrame(bins.edges(), T.StructType(fields))
     out = dimension.join(F.broadcast(counted), "binNumber", "left")
-    return out.select("binNumber", "name", "binMin", "binMax", F.coalesce("c", F.lit(0)).cast("int").alias("binCount"), *[c for c in counted.columns if c.startswith("binStats")])
+    return out.select("binNumber", "name", "binMin", "binMax", F.coalesce("c", F.lit(0)).alias("binCount"), *[c for c in counted.columns if c.startswith("binStats")])

@@ -110,7 +110,6 @@ def ranked(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], posi
     repeatable result. Nulls come first ascending, last descending. Null group keys form one group. An empty input gives an
     empty result. Group keys can't be floating. A clash of ``position`` with a column adds underscores to it.
     """
-    spark = df.sparkSession
     place = {c: f"c{i}" for i, c in enumerate(df.columns)}
     if any(isinstance(df.schema[g].dataType, (T.FloatType, T.DoubleType)) for g in groups):
         raise ValueError("group keys can't be floating")
@@ -118,7 +117,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], posi
     keys = [place[g] for g in groups]
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in inner.schema], T.StructField(PART, T.IntegerType()), T.StructField(POS, T.LongType()), T.StructField(COUNT, T.LongType())])
     by = [*[F.col(k) for k in keys], *[F.col(place[c]).desc() if down else F.col(place[c]).asc() for c, down in order]]
-    local = inner.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(_local_positions(keys, keep, to_arrow_schema(schema)), schema)
+    local = inner.repartitionByRange(partitions(df), *by).sortWithinPartitions(*by).mapInArrow(_local_positions(keys, keep, to_arrow_schema(schema)), schema)
     back = [F.col(n).alias(c, metadata=df.schema[c].metadata) if df.schema[c].metadata else F.col(n).alias(c) for c, n in place.items()]
     name = free_name(position, df.columns)
     if keep is None:  # rows stay where they are; only the counts move

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade import schema
-from colonnade.operators.positions import ranked
+from colonnade.runtime import materialize, partitions
 
 #: parts that the range of a column is divided into for its automatic resolution
 GRAIN_PARTS = 10_000
@@ -61,7 +62,7 @@ def describe(df: DataFrame, column: str, where: Column | None = None) -> DataFra
     """min, max, count, and of numbers sum, mean, sumSquares, variance and stdev (population), and whether the second moment is beyond exact range."""
     kind, v = schema.base_type(df, column), F.col(f"`{column}`")
     rows = usable(selected(df, where), column)
-    base = [F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).cast("int").alias("count")]
+    base = [F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count")]
     if kind in ("STRING", "BOOLEAN"):
         if where is not None:
             raise TypeError(f"statistics under a selection are for numbers, {column} is {kind}")
@@ -100,12 +101,26 @@ def quantile_ranks(n: int) -> dict[int, list[int]]:
 
 
 def quantiles(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
-    """p0, p5 ... p100, exact at any size: one range-partitioned sort, of which the 21 ranks are picked. Null where not computed."""
+    """p0, p5 ... p100, exact at any size, the 21 ranks picked from the counts of equal values. Null where not computed.
+
+    Equal values are counted before the shuffle, and only (value, count) pairs are range-partitioned and sorted; their sums a
+    partition, one number each, say where every partition begins.
+    """
     v = F.col(f"`{column}`").cast("double")
-    rows = usable(selected(df, where), column).select(F.lit(0).alias("all"), v.alias("v"))
-    ranks = quantile_ranks(rows.count())
+    counted = usable(selected(df, where), column).groupBy(v.alias("v")).agg(F.count("*").alias("c"))
+    parts = counted.repartitionByRange(partitions(df), "v").withColumn("part", F.spark_partition_id())
+    parts = materialize(parts, "counts")
+    sums = parts.groupBy("part").agg(F.sum("c").alias("c")).orderBy("part").collect()  # one row for each partition
+    ranks = quantile_ranks(sum(r["c"] for r in sums))
     wanted = sorted({r for rs in ranks.values() for r in rs})
-    at = ranked(rows, ["all"], [("v", False)], "at").filter(F.col("at").isin([r + 1 for r in wanted] or [0]))
+    begins = list(itertools.accumulate((r["c"] for r in sums), initial=0))
+    held = [(r["part"], a) for r, a, z in zip(sums, begins, begins[1:]) if any(a <= w < z for w in wanted)]
+    first = df.sparkSession.createDataFrame(held, "part int, before long")
+    w = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    here = parts.join(F.broadcast(first), "part").withColumn("to", F.col("before") + F.sum("c").over(w))
+    within = F.array(*[F.lit(r).cast("long") for r in wanted]) if wanted else F.array().cast("array<long>")
+    hit = here.withColumn("at", F.explode(F.filter(within, lambda r: (r < F.col("to")) & (r >= F.col("to") - F.col("c"))))).withColumn("at", F.col("at") + 1)
+    at = hit.select("v", "at")
     picks = [F.avg(F.when(F.col("at").isin([r + 1 for r in ranks[p]]), F.col("v"))).alias(f"p{p}") if p in ranks else F.lit(None).cast("double").alias(f"p{p}") for p in PERCENTILES]
     return at.agg(*picks)
 

@@ -166,7 +166,7 @@ def _describe_sql(v: str, t: str, where: str = "TRUE", wide: bool = True) -> str
     x = f"CAST({v} AS DOUBLE)"
     numbers = f""", round(sum({x}), 4) AS sum, round(avg({x}), 4) AS mean, round(sum({x} * {x}), 4) AS "sumSquares", round(var_pop({x}), 4) AS variance,
     round(stddev_pop({x}), 4) AS stdev, sum({x} * {x}) > 2147483647 AS "momentOverflow\""""
-    return f'SELECT min({v}) AS min, max({v}) AS max, CAST(count({v}) AS INTEGER) AS count{numbers if wide else ""} FROM {t} WHERE {where}'
+    return f'SELECT min({v}) AS min, max({v}) AS max, count({v}) AS count{numbers if wide else ""} FROM {t} WHERE {where}'
 
 
 @query(_describe_sql("p_size", "part"))
@@ -228,8 +228,8 @@ def quantiles_median(s, d):
 def _top_sql(v: str, t: str, n: int, desc: str, row: str | None = None, r: float | None = None, where: str = "TRUE") -> str:
     key = f"floor({v} / {r}::DOUBLE + 0.5)" if r else v
     label = f"arg_max({v}, {row})" if row else f"max({v})"
-    return f"""WITH b AS (SELECT {key} AS k, {label} AS x, CAST(count(*) AS INTEGER) AS c FROM {t} WHERE {where} GROUP BY {key} ORDER BY k {desc} LIMIT {n})
-    SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS SMALLINT) AS "binNumber", CAST(x AS VARCHAR) AS name, x AS "binMin", x AS "binMax", c AS "binCount" FROM b"""
+    return f"""WITH b AS (SELECT {key} AS k, {label} AS x, count(*) AS c FROM {t} WHERE {where} GROUP BY {key} ORDER BY k {desc} LIMIT {n})
+    SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS "binNumber", CAST(x AS VARCHAR) AS name, x AS "binMin", x AS "binMax", c AS "binCount" FROM b"""
 
 
 @query(_top_sql("o_totalprice", "orders", 12, "DESC", "o_orderkey", 10.0))
@@ -296,8 +296,8 @@ def _int_hist_sql(v: str, t: str, k: str, lo: str, hi: str, clip: bool, where: s
     y AS (SELECT least(b, k - 1) AS b, v FROM x WHERE {keep}),
     g AS (SELECT b, count(*) AS n, min(v) AS mn, max(v) AS mx, avg(v) AS mean, stddev_pop(v) AS sd FROM y GROUP BY b),
     e AS (SELECT i, lo + i * w AS a, CASE WHEN i = k - 1 THEN hi ELSE lo + (i + 1) * w - 1 END AS z FROM w, unnest(generate_series(0, k - 1)) AS s(i))
-    SELECT CAST(i AS SMALLINT) AS "binNumber", CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE CONCAT(a, '-', z) END AS name,
-      CAST(a AS INTEGER) AS "binMin", CAST(z AS INTEGER) AS "binMax", CAST(coalesce(n, 0) AS INTEGER) AS "binCount"{more} FROM e LEFT JOIN g ON g.b = e.i"""
+    SELECT CAST(i AS BIGINT) AS "binNumber", CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE CONCAT(a, '-', z) END AS name,
+      CAST(a AS INTEGER) AS "binMin", CAST(z AS INTEGER) AS "binMax", CAST(coalesce(n, 0) AS BIGINT) AS "binCount"{more} FROM e LEFT JOIN g ON g.b = e.i"""
 
 
 def _real_hist_sql(v: str, t: str, k: str, lo: str, hi: str, r: str, clip: bool, where: str = "TRUE", more: str = "") -> str:
@@ -308,8 +308,8 @@ def _real_hist_sql(v: str, t: str, k: str, lo: str, hi: str, r: str, clip: bool,
     y AS (SELECT least(b, k - 1) AS b, v FROM x WHERE {keep}),
     g AS (SELECT b, count(*) AS n, min(v) AS mn, max(v) AS mx, avg(v) AS mean, stddev_pop(v) AS sd FROM y GROUP BY b),
     e AS (SELECT i, k, lo + i * w AS a, CASE WHEN i = k - 1 THEN hi ELSE lo + (i + 1) * w END AS z FROM w, unnest(generate_series(0, k - 1)) AS s(i))
-    SELECT CAST(i AS SMALLINT) AS "binNumber", printf('[%.2f-%.2f%s', a, z, CASE WHEN i = k - 1 THEN ']' ELSE ')' END) AS name,
-      round(a, 6) AS "binMin", round(z, 6) AS "binMax", CAST(coalesce(n, 0) AS INTEGER) AS "binCount"{more} FROM e LEFT JOIN g ON g.b = e.i"""
+    SELECT CAST(i AS BIGINT) AS "binNumber", printf('[%.2f-%.2f%s', a, z, CASE WHEN i = k - 1 THEN ']' ELSE ')' END) AS name,
+      round(a, 6) AS "binMin", round(z, 6) AS "binMax", CAST(coalesce(n, 0) AS BIGINT) AS "binCount"{more} FROM e LEFT JOIN g ON g.b = e.i"""
 
 
 _INT_AUTO = "CASE WHEN least(hi - lo + 1, n) <= 5 THEN least(hi - lo + 1, n) ELSE least(21, least(hi - lo + 1, n)) END"
@@ -358,7 +358,7 @@ def range_hist_stats(s, d):
 # bars
 def _olhc_sql(size: int, where: str = "TRUE") -> str:
     return f"""WITH x AS (SELECT event_id, value AS v, row_number() OVER (ORDER BY event_id) AS k FROM events WHERE {where})
-    SELECT CAST((k - 1) // {size} AS SMALLINT) AS "binNumber", CAST(max(k) AS VARCHAR) AS name, round(min(v), 6) AS "binMin", round(max(v), 6) AS "binMax", CAST(count(*) AS INTEGER) AS "binCount",
+    SELECT CAST((k - 1) // {size} AS BIGINT) AS "binNumber", CAST(max(k) AS VARCHAR) AS name, round(min(v), 6) AS "binMin", round(max(v), 6) AS "binMax", count(*) AS "binCount",
       round(arg_min(v, event_id), 3) AS "binOpen", round(arg_max(v, event_id), 3) AS "binClose", round(avg(v), 6) AS "binMean", round(stddev_pop(v), 6) AS "binStdev",
       round(sum(v), 4) AS sum, round(sum(v * v), 3) AS "sumSquares" FROM x GROUP BY (k - 1) // {size}"""
 
@@ -379,16 +379,16 @@ def olhc_filtered(s, d):
 
 
 @query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY rid) AS k FROM olhc_bars)
-  SELECT CAST((k - 1) // 50 AS SMALLINT) AS "binNumber", CAST(max(k) AS VARCHAR) AS name, CAST(min("binMin") AS FLOAT) AS "binMin", CAST(max("binMax") AS FLOAT) AS "binMax", CAST(count(*) AS INTEGER) AS "binCount",
+  SELECT CAST((k - 1) // 50 AS BIGINT) AS "binNumber", CAST(max(k) AS VARCHAR) AS name, CAST(min("binMin") AS FLOAT) AS "binMin", CAST(max("binMax") AS FLOAT) AS "binMax", count(*) AS "binCount",
     arg_min_null("binOpen", rid) AS "binOpen", arg_max_null("binClose", rid) AS "binClose" FROM x GROUP BY (k - 1) // 50""")
 def olhc_rebin(s, d):
     return bars.rebin_bars(table(s, d, "olhc_bars"), "rid", 50)
 
 
 @query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_day, "second", rid) AS k FROM rebarred_quotes)
-  SELECT symbol, CAST(-1 AS BIGINT) AS bar, "openingPrice" AS "binOpen", "openingPrice" AS "binMin", "openingPrice" AS "binMax", "openingPrice" AS "binClose", 0 AS "binVolume", 0 AS "second" FROM symbols
+  SELECT symbol, CAST(-1 AS BIGINT) AS bar, "openingPrice" AS "binOpen", "openingPrice" AS "binMin", "openingPrice" AS "binMax", "openingPrice" AS "binClose", CAST(0 AS BIGINT) AS "binVolume", 0 AS "second" FROM symbols
   UNION ALL
-  SELECT symbol, (k - 1) // 10, arg_min_null("binOpen", k), min("binMin"), max("binMax"), arg_max_null("binClose", k), CAST(coalesce(sum(CAST("binVolume" AS BIGINT)), 0) AS INTEGER), max("second")
+  SELECT symbol, (k - 1) // 10, arg_min_null("binOpen", k), min("binMin"), max("binMax"), arg_max_null("binClose", k), CAST(coalesce(sum(CAST("binVolume" AS BIGINT)), 0) AS BIGINT), max("second")
   FROM k GROUP BY symbol, (k - 1) // 10""")
 def ohlcv_by_symbol(s, d):
     return bars.rebar_symbols(table(s, d, "rebarred_quotes"), ["trade_day", "second", "rid"], 10, table(s, d, "symbols"))
@@ -437,7 +437,7 @@ def row_access(s, d):
     return frame.row_at(events(s, d), "event_id", 17, ["event_id", "event_type"])
 
 
-@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS row_number FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_number FROM orders")
 def id_column(s, d):
     return frame.id_column(orders(s, d).select("o_orderkey"), "row_number", "o_orderkey")
 

@@ -13,15 +13,22 @@ from pyspark.sql import types as T
 
 #: A dimension is broadcast up to so many rows and so many bytes of text; with the few number columns used here it is then below 64 MB.
 BROADCAST_ROWS, BROADCAST_TEXT = 200_000, 16_000_000
+#: input (as stored, so several times that in memory) for each partition of an explicit shuffle, and the most of them
+PART_BYTES, MOST_PARTS = 128 << 20, 100_000
+#: sizes from here on stand for one that isn't known
+UNKNOWN = 1 << 60
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a local folder is made.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session runs on this machine alone, as in
+    tests, a local folder is made; elsewhere executors couldn't reach it, so it raises.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
         there = tempfile.mkdtemp(prefix="colonnade-")
         atexit.register(shutil.rmtree, there, True)
         spark.sparkContext.setCheckpointDir(there)
@@ -39,8 +46,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables that a frame reads; what the optimiser doesn't know the size of counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        size = int(str(leaves.next().stats().sizeInBytes()))
+        total += size if size < UNKNOWN else 0
+    return total
+
+
+def partitions(df: DataFrame) -> int:
+    """Partitions of an explicit shuffle of what ``df`` reads: ``spark.sql.shuffle.partitions``, or more, so that none takes over PART_BYTES of input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-input_bytes(df) // PART_BYTES), MOST_PARTS))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -49,30 +67,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+def small(df: DataFrame, most: int | None = None) -> bool:
     """Whether a frame may be broadcast, by counting at most ``most`` + 1 of its rows and their text."""
-    text = [F.sum(F.coalesce(F.length(f"`{f.name}`"), F.lit(0))) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    most = BROADCAST_ROWS if most is None else most
+    text = [F.sum(F.coalesce(F.length(F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, T.StructType) else F.col(f"`{f.name}`")), F.lit(0))) for f in df.schema if isinstance(f.dataType, (T.StringType, T.StructType))]
     rows, *lengths = df.limit(most + 1).agg(F.count("*"), *text).first()
     return rows <= most and sum(x or 0 for x in lengths) <= BROADCAST_TEXT
 
 
-def join_dimension(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+def join_dimension(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "left", most: int | None = None) -> DataFrame:
     """Joins a dimension (one row per key) to a possibly skewed fact table; no row of the facts is lost, null keys match nothing.
 
     A dimension of counted small size is broadcast. Beyond, the facts' keys are counted (combined before the shuffle): those
-    that hold more than a quarter of a task's share of rows, at most 4 x partitions keys, get their dimension rows by
-    broadcast, and only the rest of the facts is shuffled.
+    that hold more than a quarter of a task's share of rows, at most 4 x partitions keys, are salted by a hash of the whole
+    row, and their dimension rows are repeated for each salt. It stays one join, so several in a row don't double the plan.
     """
     if how not in ("left", "inner"):
         raise ValueError("how is left or inner")
     if small(dimension, most):
         return facts.join(F.broadcast(dimension), on, how)
-    parts = partitions(facts.sparkSession)
+    spark, parts = facts.sparkSession, partitions(facts)
     keys = facts.groupBy(*on).agg(F.count("*").alias("__n"))
     limit = max(facts.count() // (4 * parts), 1)
-    heavy = facts.sparkSession.createDataFrame(keys.filter(F.col("__n") > limit).drop("__n").collect(), facts.select(*on).schema)
-    known = heavy.withColumn("__heavy", F.lit(True))
-    marked = facts.join(F.broadcast(known), on, "left")
-    is_heavy = F.col("__heavy").isNotNull()
-    hot = marked.filter(is_heavy).drop("__heavy").join(F.broadcast(dimension.join(F.broadcast(heavy), on, "left_semi")), on, how)
-    return hot.unionByName(marked.filter(~is_heavy).drop("__heavy").join(dimension, on, how))
+    heavy = spark.createDataFrame(keys.filter(F.col("__n") > limit).drop("__n").collect(), facts.select(*on).schema).withColumn("__heavy", F.lit(True))
+    salts = F.when(F.col("__heavy"), F.lit(parts)).otherwise(F.lit(1))
+    salted = facts.join(F.broadcast(heavy), on, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(parts))).otherwise(F.lit(0)).cast("int")).drop("__heavy")
+    repeated = dimension.join(F.broadcast(heavy), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__heavy")
+    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from colonnade.operators import sketch
 from colonnade.operators.balanced import heavy_keys, per_key_summary
 from colonnade.operators.grid import missing_periods, regular_grid
-from colonnade.operators.implausible import esd_critical, implausible
+from colonnade import runtime
+from colonnade.operators.implausible import Limits, deviate_limit, esd_critical, implausible
 from colonnade.operators.positions import ranked, top_n_per_group
 from colonnade.runtime import join_dimension
 
@@ -256,3 +257,37 @@ def test_another_price_of_the_same_second_is_judged_by_itself(spark, quiet_marke
     want = {60_000, rows[700][0], 60_002, *(rows[k][0] for k in (*range(900, 910), *range(911, 920)))}
     got = found(spark, [*rows, spike, plain, stuck])
     assert {60_000, 60_002, rows[700][0]} <= got and 60_001 not in got and got <= want
+
+
+def test_the_limits_are_those_of_student():
+    # quantiles of tables: 2.228 for 10 degrees of freedom and 2.5 percent, 3.169 for 0.5 percent, 6.314 for 1 and 5 percent
+    assert deviate_limit(12, 0.6) == pytest.approx(2.228, abs=1e-3) and deviate_limit(12, 0.12) == pytest.approx(3.169, abs=1e-3)
+    assert deviate_limit(3, 0.3) == pytest.approx(6.314, abs=1e-3)
+    # the internal form of the same test
+    t, m = deviate_limit(50, 0.05), 50
+    assert (m - 1) * t / math.sqrt((m - 2 + t * t) * m) == pytest.approx(esd_critical(50, 0.05), abs=1e-3)
+
+
+def test_the_deviate_test_decides(spark, quiet_market):
+    rows = [list(r) for r in quiet_market]
+    rows[350][5] *= 1.006  # some six scales off
+    rows[700][6] = 20_000
+    loose, strict = (found(spark, rows, limits=Limits(level_alpha=a, amount_alpha=a)) for a in (0.05, 1e-12))
+    assert {rows[350][0], rows[700][0]} <= loose and strict == set()
+
+
+def test_readings_sent_again_by_the_thousand_are_folded(spark, quiet_market):
+    rows = [tuple(r) for r in quiet_market]
+    spike = (*rows[350][:5], rows[350][5] * 1.5, rows[350][6])
+    rows[350] = spike
+    again = [(100_000 + i, *spike[1:]) for i in range(3000)] + [(200_000 + i, *rows[20][1:]) for i in range(3000)]
+    assert found(spark, [*rows, *again]) == {spike[0], *range(100_000, 103_000)}
+
+
+def test_partitions_grow_with_the_input(spark, monkeypatch, tmp_path):
+    spark.range(200_000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert runtime.partitions(df) == least == runtime.partitions(spark.createDataFrame([(1,)], "a int"))
+    monkeypatch.setattr(runtime, "PART_BYTES", 20_000)
+    assert runtime.partitions(df) == -(-runtime.input_bytes(df) // 20_000) > least
