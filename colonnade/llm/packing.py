@@ -106,16 +106,19 @@ def _sizes(tokenizer: str):
     return run
 
 
-def counter(path: str):
-    """A function that counts the tokens of a text under the byte-level vocabulary of ranks at ``path``."""
+#: fixed value: the pattern that divides a text before byte pairs are merged, as the public rank files were made with it
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def counter(path: str, pattern: str = PATTERN):
+    """A function that counts the tokens of a text under the byte-level vocabulary of ranks at ``path``, whose own splitting pattern may be given."""
     import base64
 
-    import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
 
 
