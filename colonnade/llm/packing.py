@@ -8,7 +8,6 @@ The plan gives ranges of ranks within a size to ranges of containers, and every
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -61,8 +60,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             left[s] -= n
             open_[capacity - s - m].append((made, n))
             made += n
-    rooms = sorted(r for r in open_ if r)
-    heapq.heapify(rooms)
     for s in sorted((s for s in left if 3 * s <= capacity), reverse=True):
         n = left[s]
         for room in sorted(r for r in open_ if r >= s and open_[r]):
@@ -107,7 +104,7 @@ def _sizes(tokenizer: str):
 
 
 #: fixed value: the pattern that divides a text before byte pairs are merged, as the public rank files were made with it
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def counter(path: str, pattern: str = PATTERN):
