@@ -1,6 +1,5 @@
-"""Column functions of the engine: conversions between text, booleans and numbers, and the buckets of the percentile sketch."""
+"""Column functions of the engine: conversions between text, booleans and numbers."""
 
-from colonnade.operators.sketch import bucket_of, sign_of, value_of
-from colonnade.schema import convert, logical_to_number, parse_double, parse_long
+from colonnade.schema import convert, equals_as_long, is_integral_number, logical_to_number, parse_double, parse_long
 
-__all__ = ["bucket_of", "convert", "logical_to_number", "parse_double", "parse_long", "sign_of", "value_of"]
+__all__ = ["convert", "equals_as_long", "is_integral_number", "logical_to_number", "parse_double", "parse_long"]

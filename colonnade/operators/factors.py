@@ -46,6 +46,25 @@ def encode(df: DataFrame, column: str, codes: DataFrame, name: str) -> DataFrame
     return schema.annotate(out, column, factor=f"{column} factor")
 
 
+def decode(df: DataFrame, code: str, codes: DataFrame, name: str) -> DataFrame:
+    """Adds the value of each code; null where it is none of the factor's."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name}")
+    table = codes.select(F.col("code").alias(code), F.col("value").alias(name))
+    return join_dimension(df, table, [code], "left").select(*df.columns, name)
+
+
+def clone_and_rename(codes: DataFrame, names: Mapping) -> DataFrame:
+    """The same factor with other values for some of its codes, those of ``names`` (value to new value); a value that isn't there, or two that become the same, raise."""
+    held = {r["value"]: r["code"] for r in codes.collect()}  # a factor has at most UNIQUE_CAP values
+    if unknown := set(names) - set(held):
+        raise ValueError(f"no such values: {sorted(unknown)}")
+    renamed = {names.get(v, v): c for v, c in held.items()}
+    if len(renamed) < len(held):
+        raise ValueError("values repeat")
+    return factor_of(codes.sparkSession, renamed)
+
+
 def is_valid(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     return encode(df, column, codes, "__code").withColumn("valid", F.col("__code").isNotNull()).drop("__code")
 

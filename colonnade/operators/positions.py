@@ -1,6 +1,6 @@
 """Global order without a single task: range-partitioned sort, counts per partition, prefix sums.
 
-``ranked`` gives exact positions within each group; ``top_n_per_group`` keeps the first N of them.
+``ranked`` gives exact positions within each group, and on request only the first N of them.
 """
 
 from __future__ import annotations
@@ -136,18 +136,3 @@ def ranked(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], posi
     out = local.withColumn("before", F.coalesce(F.sum(COUNT).over(w), F.lit(0)))
     at = F.col(POS) + F.col("before")
     return out.filter((F.col(POS) > 0) & (at <= keep)).select(*back, at.alias(name))
-
-
-def top_n_per_group(df: DataFrame, group: str, score: str, identifier: str, n: int, position: str = "position") -> DataFrame:
-    """The ``n`` rows of each group with the highest score; equal scores go by the smaller identifier.
-
-    Rows with a null group or a null score take no part; NaN counts as null. A group of fewer rows comes whole. Rows that
-    repeat are items of their own (with equal identifiers they are interchangeable). ``n`` < 1 raises. Columns: all of ``df``, and ``position``.
-    """
-    if n < 1:
-        raise ValueError("n must be at least 1")
-    s = F.col(f"`{score}`")
-    usable = F.col(f"`{group}`").isNotNull() & s.isNotNull()
-    if isinstance(df.schema[score].dataType, (T.FloatType, T.DoubleType)):
-        usable &= ~F.isnan(s)
-    return ranked(df.filter(usable), [group], [(score, True), (identifier, False)], position, keep=n)

@@ -1,19 +1,16 @@
-"""Queries of the operators on stock bars: implausible readings, top bars, percentiles, regular grid, heavy symbols."""
+"""Queries of the operators on stock bars: implausible readings, regular grid, heavy symbols."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colonnade.operators import sketch
 from colonnade.operators.balanced import heavy_keys, per_key_summary
 from colonnade.operators.grid import missing_periods, regular_grid
 from colonnade.operators.implausible import implausible
-from colonnade.operators.positions import top_n_per_group
 from colonnade.runtime import join_dimension
 from colonnade.sources.tables import table
 
-LEVELS = (5, 25, 50, 75, 95, 99)
 SESSION = 23_400
 HEAVY = 0.025
 WRAP = 100_000
@@ -24,19 +21,6 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return implausible(bars, "symbol", "trade_day", "second", "rid", ["binClose", "binOpen"], "binVolume").select("rid")
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    bars = table(spark, folder, "stock_quotes").select("symbol", "binVolume", "rid")
-    return top_n_per_group(bars, "symbol", "binVolume", "rid", 5).select("symbol", "rid")
-
-
-def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Days are sketched first and added up, as summaries of separate days or files would be."""
-    bars = table(spark, folder, "stock_quotes").filter("symbol is not null")
-    days = sketch.sketch(bars, ["symbol", "trade_day"], ["binClose", "binVolume"])
-    found = sketch.percentiles(sketch.merge(days, ["symbol"]), ["symbol"], LEVELS)
-    return found.select("symbol", "column", "n", *[F.round(f"p{p}", 4).alias(f"p{p}") for p in LEVELS])
-
-
 def grid(spark: SparkSession, folder: str) -> DataFrame:
     bars = table(spark, folder, "stock_quotes").select("rid", "trade_day", "second", "symbol", "binClose").filter(F.col("symbol").isNotNull() & F.col("second").between(1, SESSION))
     steps = table(spark, folder, "symbols").select("symbol", "grid_seconds")
@@ -78,7 +62,7 @@ def p5_summary(spark: SparkSession, folder: str) -> DataFrame:
     return s.select(F.col("key").alias("symbol"), "n_rows", "n_known", F.col("total").cast("string").alias("volume"), F.col("first").alias("first_close"), F.col("last").alias("last_close"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p4_found, p4_grid, p4_counter, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_grid, p4_counter, p5_found, p5_summary)}
 
 _READINGS = f"""
   SELECT q.trade_day, q.symbol, q."second" AS t, q.rid, CAST(q."binClose" AS DOUBLE) AS v, CAST(s.grid_seconds AS BIGINT) AS step,
@@ -87,22 +71,7 @@ _READINGS = f"""
   WHERE q."second" BETWEEN 1 AND {SESSION} AND q."binClose" IS NOT NULL AND NOT isnan(q."binClose") AND s.grid_seconds > 0
 """
 
-_G = sketch.gamma(sketch.ERROR)
-
 ORACLES = {
-    "p3_percentiles": f"""
-  WITH v AS (SELECT symbol, 'binClose' AS "column", CAST("binClose" AS DOUBLE) AS v FROM stock_quotes UNION ALL SELECT symbol, 'binVolume', CAST("binVolume" AS DOUBLE) FROM stock_quotes),
-  b AS (SELECT symbol, "column", sign(v) AS s, CASE WHEN v = 0 THEN 0 ELSE ceil(ln(abs(v)) / ln({_G!r}::DOUBLE)) END AS b FROM v WHERE symbol IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY symbol, "column" ORDER BY s, s * b) - 1 AS k, count(*) OVER (PARTITION BY symbol, "column") AS n FROM b),
-  x AS (SELECT *, s * exp(b * ln({_G!r}::DOUBLE)) * (2 / ({_G!r}::DOUBLE + 1)) AS e FROM r)
-  SELECT symbol, "column", n, {", ".join(f"round(max(e) FILTER (WHERE k = floor({p / 100}::DOUBLE * (n - 1))), 4) AS p{p}" for p in LEVELS)} FROM x GROUP BY symbol, "column", n
-""",
-    "p2_found": """
-  SELECT symbol, rid FROM (
-    SELECT symbol, rid, row_number() OVER (PARTITION BY symbol ORDER BY "binVolume" DESC, rid) AS k
-    FROM stock_quotes WHERE symbol IS NOT NULL AND "binVolume" IS NOT NULL)
-  WHERE k <= 5
-""",
     "p4_found": f"""
   WITH r AS ({_READINGS}), b AS (SELECT trade_day, symbol, min(period) AS a, max(period) AS z FROM r GROUP BY ALL),
   every AS (SELECT trade_day, symbol, unnest(generate_series(a, z)) AS period FROM b)

@@ -115,6 +115,21 @@ def parse_double(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").cast("double")
 
 
+def is_integral_number(df: DataFrame, column: str) -> bool:
+    """Whether numbers of a column compare as 64-bit integers: longs, integers and shorts do."""
+    return base_type(df, column) in ("LONG", "INTEGER", "SHORT")
+
+
+def equals_as_long(df: DataFrame, column: str, value: Any) -> Column:
+    """Whether an integral column holds a number, a real one cut to its integer; false on nulls and for what is no number."""
+    if not is_integral_number(df, column):
+        raise TypeError(f"{column} isn't integral, it can't be compared as such")
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
+        return F.lit(False)
+    v = F.col(f"`{column}`")
+    return v.isNotNull() & (v.cast("long") == F.lit(math.trunc(value)))
+
+
 def logical_to_number(flag: Column) -> Column:
     return flag.cast("int")
 

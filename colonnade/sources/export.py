@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade import schema
 from colonnade.operators.frame import labels, row_id, sorted_columns
+from colonnade.storage import Files
 
 
 def quote(text: str | None) -> str:
@@ -52,11 +51,7 @@ def export_vector(df: DataFrame, column: str, folder: str) -> None:
 
 
 def _side_file(df: DataFrame, path: str, lines: list[str]) -> None:
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(conf).create(target, True)
-    out.write(bytearray("".join(f"{x}\n" for x in lines).encode()))
-    out.close()
+    Files(df.sparkSession).write(path, "".join(f"{x}\n" for x in lines))
 
 
 def export_namespace(space, folder: str) -> list[str]:
@@ -75,7 +70,6 @@ def export_namespace(space, folder: str) -> list[str]:
             export_frame(df, f"{folder}/{name}.dataFrame.csv", name, notes=True)
             written.append(f"{name}.dataFrame.csv")
     if scalars:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        Path(folder, "scalars.csv").write_text("\n".join(scalars) + "\n")
+        Files(space.space.spark).write(f"{folder}/scalars.csv", "\n".join(scalars) + "\n")
         written.append("scalars.csv")
     return written

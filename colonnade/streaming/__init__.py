@@ -1,23 +1,21 @@
-"""Percentile sketches kept up to date from a stream.
+"""Operators over a stream, batch by batch.
 
-Columns are sealed before they are queried, so nothing else of the engine has a streaming form. Sketches of separate batches
-add up to that of the whole, so a stream only has to append them.
+Columns are sealed before they are queried, so an operator sees a batch as a frame of its own; results that add up, such as
+counts or partial summaries, are combined when they are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from colonnade.operators import sketch
 
-
-def append_sketches(stream: DataFrame, keys: Sequence[str], columns: Sequence[str], folder: str, checkpoint: str, error: float = sketch.ERROR) -> StreamingQuery:
-    """Appends the sketch of every batch under ``folder``, in a folder of the batch's own: a batch that is run again replaces what it wrote."""
+def append_batches(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
+    """Appends what ``operator`` makes of every batch under ``folder``, in a folder of the batch's own: a batch that is run again replaces what it wrote."""
 
     def write(batch: DataFrame, number: int) -> None:
-        sketch.sketch(batch, keys, columns, error).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        operator(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

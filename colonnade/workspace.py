@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
-import os
-import shutil
 import uuid
-from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.schema import check_name
+from colonnade.storage import Files
 
 #: tiers in ascending order
 TIERS = ("memory", "temp", "persistent")
@@ -102,16 +100,19 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, folder: str, read_only: bool = False):
-        self.spark, self.folder, self.read_only = spark, Path(folder), read_only
+        self.spark, self.folder, self.read_only, self.files = spark, str(folder).rstrip("/"), read_only, Files(spark)
         self._id, self._depth, self._closed = uuid.uuid4().hex, 0, False
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.files.make(self.folder)
         self._lock()
         self.spaces = {t: Namespace(self, t) for t in TIERS}
         self._owner: dict[int, tuple[str, str]] = {}
-        manifest = self.folder / "manifest.json"
-        if manifest.exists():
-            for name, entry in json.loads(manifest.read_text())["elements"].items():
-                df = spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(str(self.folder / "persistent" / name))
+        written = self.files.read_replaced(f"{self.folder}/manifest.json")
+        held = json.loads(written) if written else {}
+        #: notes on the store, kept in its manifest, and the number of elements that were ever stored
+        self.notes, self.stored = held.get("notes", {}), held.get("stored", 0)
+        if held:
+            for name, entry in held["elements"].items():
+                df = spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(f"{self.folder}/persistent/{name}")
                 self.spaces["persistent"]._elements[name] = df
                 df.createOrReplaceTempView(f"persistent__{name}")
 
@@ -147,7 +148,8 @@ class Workspace:
         else:
             if self.read_only:
                 raise PermissionError("the workspace is open for reading")
-            path = str(self.folder / tier / name)
+            path = f"{self.folder}/{tier}/{name}"
+            self.stored += tier == "persistent"
             df.write.mode("overwrite").parquet(path)
             kept = self.spark.read.schema(df.schema).parquet(path)
         kept._colonnade_space = self._id
@@ -160,7 +162,7 @@ class Workspace:
         if tier == "memory":
             df.unpersist()
         elif not self.read_only:
-            shutil.rmtree(self.folder / tier / name, ignore_errors=True)
+            self.files.remove(f"{self.folder}/{tier}/{name}")
 
     def _forget(self, df: DataFrame, to: Namespace) -> None:
         """An element that already has a name moves: read before its files go, so it is kept apart until it is written anew."""
@@ -184,25 +186,35 @@ class Workspace:
             return
         kept = self.spaces["persistent"]._elements
         entries = {n: {"schema": df.schema.jsonValue()} for n, df in kept.items()}
-        part = self.folder / f"manifest.{self._id}"
-        part.write_text(json.dumps({"elements": entries}, indent=1))
-        os.replace(part, self.folder / "manifest.json")
+        self.files.replace(f"{self.folder}/manifest.json", json.dumps({"elements": entries, "stored": self.stored, "notes": self.notes}, indent=1))
+
+    def note(self, **values) -> None:
+        """Keeps notes on the store in its manifest; None removes one."""
+        self._open()
+        if self.read_only:
+            raise PermissionError("the workspace is open for reading")
+        self.notes = {k: v for k, v in (self.notes | values).items() if v is not None}
+        self._changed()
+
+    def copy_to(self, name: str, other: Workspace, new_name: str | None = None) -> DataFrame:
+        """Copies an element into another workspace, whose own element it becomes; without a new name it keeps its own, tier included."""
+        df = self.get(name)
+        other._open()
+        return other.assign(new_name or name, df.select("*"))
 
     # lock
     def _lock(self) -> None:
-        writer, readers = self.folder / "writer.lock", self.folder / "readers"
-        readers.mkdir(exist_ok=True)
+        writer, readers = f"{self.folder}/writer.lock", f"{self.folder}/readers"
+        self.files.make(readers)
         if self.read_only:
-            if writer.exists():
+            if self.files.exists(writer):
                 raise StoreLocked("a writer has the store open")
-            (readers / self._id).touch()
+            self.files.write(f"{readers}/{self._id}", "")
             return
-        if any(readers.iterdir()):
+        if [n for n in self.files.names(readers) if not n.startswith(".")]:
             raise StoreLocked("readers have the store open")
-        try:
-            os.close(os.open(writer, os.O_CREAT | os.O_EXCL))
-        except FileExistsError:
-            raise StoreLocked("another writer has the store open") from None
+        if not self.files.write(writer, "", new=True):
+            raise StoreLocked("another writer has the store open")
 
     def _open(self) -> None:
         if self._closed:
@@ -222,8 +234,8 @@ class Workspace:
         for name in self.spaces["persistent"]._elements:
             self.spark.catalog.dropTempView(f"persistent__{name}")
         if not self.read_only:
-            shutil.rmtree(self.folder / "temp", ignore_errors=True)
-        (self.folder / "readers" / self._id if self.read_only else self.folder / "writer.lock").unlink(missing_ok=True)
+            self.files.remove(f"{self.folder}/temp")
+        self.files.remove(f"{self.folder}/readers/{self._id}" if self.read_only else f"{self.folder}/writer.lock")
         self._closed = True
 
     def __enter__(self) -> Workspace:
@@ -232,6 +244,24 @@ class Workspace:
     def __exit__(self, *_) -> None:
         self.close()
 
+    def delete(self) -> None:
+        """Closes the workspace and deletes its store with all elements; a reader can't."""
+        self._open()
+        if self.read_only:
+            raise PermissionError("the workspace is open for reading")
+        self.close()
+        self.files.remove(self.folder)
+
+    def collect_garbage(self) -> list[str]:
+        """Removes folders of stored elements that no name holds, such as those a lost session left; gives their names."""
+        self._open()
+        if self.read_only:
+            raise PermissionError("the workspace is open for reading")
+        lost = [f"{tier}/{n}" for tier in ("temp", "persistent") for n in self.files.names(f"{self.folder}/{tier}") if n not in self.spaces[tier]._elements and not n.startswith(".")]
+        for path in lost:
+            self.files.remove(f"{self.folder}/{path}")
+        return lost
+
     def wipe(self) -> None:
         """Drops every element."""
         self._open()

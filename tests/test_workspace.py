@@ -78,3 +78,55 @@ def test_csv(spark, tmp_path):
         w.assign("one", builders.scalar(spark, 5))
         assert export.export_namespace(w.spaces["temp"], str(tmp_path / "out")) == ["frame.dataFrame.csv", "vec.vector.csv", "scalars.csv"]
         assert (tmp_path / "out" / "scalars.csv").read_text() == '"one",5\n'
+
+
+def test_copies_notes_and_deletion(spark, tmp_path, v):
+    with Workspace(spark, str(tmp_path / "a")) as a, Workspace(spark, f"file://{tmp_path}/b") as b:
+        a.assign("mine", v)
+        a.copy_to("mine", b, "persistent.theirs")
+        a.copy_to("mine", b)
+        assert b.get("persistent.theirs").count() == b.get("mine").count() == 3 and a.has("mine")
+        with pytest.raises(ValueError):
+            b.assign("again", a.get("mine"))
+        b.note(owner="me", gone=None)
+    (tmp_path / "b" / "persistent" / "lost").mkdir()
+    with Workspace(spark, f"file://{tmp_path}/b") as b:
+        assert b.notes == {"owner": "me"} and b.stored == 1 and b.get("persistent.theirs").count() == 3
+        assert b.collect_garbage() == ["persistent/lost"] and b.has("persistent.theirs")
+    with Workspace(spark, str(tmp_path / "b"), read_only=True) as b, pytest.raises(PermissionError):
+        b.delete()
+    Workspace(spark, str(tmp_path / "b")).delete()
+    assert not (tmp_path / "b").exists()
+
+
+def test_slow_queries_are_dumped(spark, v):
+    import io
+
+    from colonnade.operators.debug import QueryDebugger, QueryDump
+
+    out = io.StringIO()
+    for debugger in (QueryDump(0.0, out), QueryDump(1e9, out), QueryDebugger(0.0)):
+        assert debugger.perform("above", {"v": 1.5}, v, lambda df: df.filter("v > 1.5")).count() == 2
+    text = out.getvalue()
+    assert text.count("Query above") == 1 and "result rows: 2" in text and "parameters: {'v': 1.5}" in text and "Filter" in text
+
+
+def test_numbers_as_integers(spark):
+    df = spark.createDataFrame([(1, 1.0), (None, 2.0)], "a int, b double")
+    assert schema.is_integral_number(df, "a") and not schema.is_integral_number(df, "b")
+    assert [r[0] for r in df.select(schema.equals_as_long(df, "a", 1.9)).collect()] == [True, False]
+    assert df.filter(schema.equals_as_long(df, "a", "1")).count() == 0
+    with pytest.raises(TypeError):
+        schema.equals_as_long(df, "b", 1)
+
+
+def test_codes_back_to_values_and_renamed(spark):
+    from colonnade.operators import factors
+
+    codes = factors.factor_of(spark, ["low", "high"])
+    df = spark.createDataFrame([(1, 1), (2, 0), (3, 9), (4, None)], "rid int, c int")
+    assert {r["rid"]: r["v"] for r in factors.decode(df, "c", codes, "v").collect()} == {1: "high", 2: "low", 3: None, 4: None}
+    assert [r[0] for r in factors.values_in_order(factors.clone_and_rename(codes, {"low": "least"})).collect()] == ["least", "high"]
+    for names in ({"none": "x"}, {"low": "high"}):
+        with pytest.raises(ValueError):
+            factors.clone_and_rename(codes, names)
