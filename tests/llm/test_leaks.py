@@ -90,8 +90,8 @@ def test_find_leaks(spark):
     i = spark.createDataFrame([*ITEMS, (99, None), (98, ""), (97, "too short"), (None, ITEMS[0][1])], "id int, text string")
     rows = sorted((str(r["doc_id"]), str(r["item_id"])) for r in find_leaks(d, i, "id", "text", "id", "text").collect())
     assert rows == sorted([("1", "0"), ("1", "None")] * 2 + [("None", "6")])
-    in_blocks = sorted((str(r["doc_id"]), str(r["item_id"])) for r in find_leaks(d, i, "id", "text", "id", "text", Tiling(block=7)).collect())
-    assert in_blocks == rows
+    full = sorted((str(r["doc_id"]), str(r["item_id"])) for r in find_leaks(d, i, "id", "text", "id", "text", Tiling(most_bits=64)).collect())
+    assert full == rows  # filters that let nearly everything through
     assert find_leaks(d.limit(0), i, "id", "text", "id", "text").count() == find_leaks(d, i.limit(0), "id", "text", "id", "text").count() == 0
 
 
@@ -103,3 +103,36 @@ def test_one_seed_is_enough():
     assert leaked(cues([*FILLER, *wrapped(" ".join(w)), *FILLER]), item) == {0}
     w[4] = "underneath"
     assert leaked(cues([*FILLER, *wrapped(" ".join(w)), *FILLER]), item) == set()
+
+
+def test_reordered_passages_by_coverage(spark):
+    w = "Velmora carried seven lanterns across the frozen harbour while Ostrey guarded twenty painted kettles and Thornby buried a silver violin beneath the orchard near Pinlock before dawn came slowly".split()[:30]
+    three = [w[20:30], w[10:20], w[:10]]
+    docs = [(1, cues([x for part in three for x in [*wrapped(" ".join(part)), "Thank you."]])), (2, cues([*wrapped(" ".join(three[0])), "Thank you.", *wrapped(" ".join(three[1]))]))]
+    d = spark.createDataFrame(docs, "id long, text string")
+    i = spark.createDataFrame([(7, " ".join(w))], "id int, text string")
+    rows = find_leaks(d, i, "id", "text", "id", "text").collect()
+    assert [(r["doc_id"], r["item_id"], r["words"], r["covered"]) for r in rows] == [(1, 7, 10, len(w))]
+    assert find_leaks(d, i, "id", "text", "id", "text", Tiling(coverage=1.1)).count() == 0 and find_leaks(d, i, "id", "text", "id", "text", Tiling(coverage=0.6)).count() == 2
+
+
+OTHERS = [
+    "старый фонарщик принёс серебряный чайник из тихой гавани и спрятал его под скрипкой возле сада на рассвете",
+    "ο παλιός φαροφύλακας έφερε τον ασημένιο βραστήρα από το ήσυχο λιμάνι και τον έκρυψε κάτω από το βιολί",
+    "حمل الحارس القديم الفانوس الفضي من الميناء الهادئ ثم أخفاه تحت الكمان قرب البستان قبل الفجر بقليل",
+    "पुराने पहरेदार ने चाँदी की केतली शांत बंदरगाह से लाकर बगीचे के पास वायलिन के नीचे छिपा दी थी",
+    "古い灯台守は静かな港から銀のやかんを運んで果樹園のそばに隠した",
+]
+
+
+@pytest.mark.parametrize("text", OTHERS)
+def test_other_scripts(text):
+    lines = [text[k : k + 9] for k in range(0, len(text), 9)] if " " not in text else wrapped(text)
+    other = "москва" if text != OTHERS[0] else "paris"
+    assert leaked(cues([*FILLER, *lines, *FILLER]), [(1, text), (2, f"{other} " * 15)]) == {1}
+    assert leaked(cues([*FILLER, *lines[: len(lines) // 3], *FILLER]), [(1, text)]) == set()
+
+
+def test_a_full_stop_without_a_space_is_no_address():
+    assert words("1\n00:00:01,000 --> 00:00:02,000\ncome home.then we left\n") == words("1\n00:00:01,000 --> 00:00:02,000\ncome home. then we left\n") != []
+    assert words("1\n00:00:01,000 --> 00:00:02,000\nBest deals on kettles! www.lines.example\n") == []
