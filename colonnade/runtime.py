@@ -68,10 +68,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, most: int | None = None) -> bool:
-    """Whether a frame may be broadcast, by counting at most ``most`` + 1 of its rows and their text."""
+    """Whether a frame may be broadcast, by counting at most ``most`` + 1 of its rows and the bytes of its text, binaries and nested values."""
     most = BROADCAST_ROWS if most is None else most
-    text = [F.sum(F.coalesce(F.length(F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, T.StructType) else F.col(f"`{f.name}`")), F.lit(0))) for f in df.schema if isinstance(f.dataType, (T.StringType, T.StructType))]
-    rows, *lengths = df.limit(most + 1).agg(F.count("*"), *text).first()
+    text = []
+    for f in df.schema:
+        v = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            text.append(F.octet_length(v))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            text.append(F.greatest(F.size(v), F.lit(0)) * 8)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text.append(F.octet_length(F.to_json(F.struct(v))))
+    rows, *lengths = df.limit(most + 1).agg(F.count("*"), *[F.sum(F.coalesce(x, F.lit(0)).cast("long")) for x in text]).first()
     return rows <= most and sum(x or 0 for x in lengths) <= BROADCAST_TEXT
 
 
