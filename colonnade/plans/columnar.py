@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from colonnade.operators.predicates import Between, Compare, Equals, Flag, In, R
 from colonnade.runtime import shared_dir
 from colonnade.sources import builders, export
 from colonnade.sources.tables import table
+from colonnade.storage import Files
 from colonnade.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +36,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def scratch(s: SparkSession, label: str) -> str:
     """A new folder in the one that the executors share."""
-    return f"{shared_dir(s).removeprefix('file://')}/colonnade/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(s)}/colonnade/{label}-{uuid.uuid4().hex}"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -550,20 +552,13 @@ def column_at(s, d):
     return frame.column_at(table(s, d, "nation").select("n_nationkey", "n_name"), 1)
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS event_id, value FROM events ORDER BY event_id LIMIT 25")
-def row_iteration(s, d):
-    """The first rows read in order through the iterator, numbered as its SQL does; ``row_iteration_all`` goes over every row."""
-    rows = [r for _, r in zip(range(25), builders.rows(events(s, d), F.col("event_id").asc_nulls_last(), ["event_id", "value"]))]
-    return s.createDataFrame([(i + 1, r["value"]) for i, r in enumerate(rows)], "event_id long, value double")
-
-
 @query("""WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id NULLS LAST, value NULLS LAST) AS k FROM events),
   x AS (SELECT *, lag(event_id) OVER (ORDER BY k) AS before FROM r)
   SELECT count(*) AS n_rows, count(event_id) AS n_ids, count(*) FILTER (WHERE event_id < before) AS descents,
     first(event_id ORDER BY k) AS first_id, last(event_id ORDER BY k) AS last_id, first(value ORDER BY k) AS first_value, last(value ORDER BY k) AS last_value,
     CAST(coalesce(sum((k % 1009) * (event_id % 1000003)), 0) AS BIGINT) AS id_sum,
     CAST(coalesce(sum((k % 1009) * CASE WHEN isfinite(value) THEN CAST(floor(value * 100) AS BIGINT) END), 0) AS BIGINT) AS value_sum FROM x""")
-def row_iteration_all(s, d):
+def row_iteration(s, d):
     """Every row read in order through the iterator, with the ids that it gives: counts, descents, ends, and sums weighted by the position."""
     return s.createDataFrame([iterated(builders.rows(events(s, d), [F.col("event_id").asc_nulls_last(), F.col("value").asc_nulls_last()], ["event_id", "value"]))], _ITERATED)
 
@@ -594,29 +589,9 @@ def csv_vector_roundtrip(s, d):
     return s.read.schema("p_name string").option("escape", '"').csv(f"{folder}/names.csv")
 
 
-@query("SELECT * FROM (VALUES ('customers.dataFrame.csv'), ('names.vector.csv'), ('scalars.csv')) AS t(file)")
-def namespace_csv(s, d):
-    folder = scratch(s, "csv")
-    with Workspace(s, f"{folder}/space") as space:
-        customers = table(s, d, "customer")
-        space.spaces["temp"].assign_all({"customers": customers.select("c_custkey", "c_name", "c_nationkey"), "names": customers.select(F.col("c_custkey").alias("rid"), "c_name"), "one": builders.scalar(s, 1)})
-        written = export.export_namespace(space.spaces["temp"], f"{folder}/out")
-    return s.createDataFrame([(w,) for w in written], "file string")
-
-
-@query("SELECT 'nations: frame' AS line UNION ALL SELECT CONCAT('  n_nationkey int, ', count(*), ' rows, ', min(n_nationkey), ' to ', max(n_nationkey)) FROM nation")
-def store_report(s, d):
-    """The report on a store's persistent elements, without its samples."""
-    folder = scratch(s, "space")
-    with Workspace(s, folder) as space:
-        space.assign("persistent.nations", table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-        lines = space.report().splitlines()[:2]
-    return s.createDataFrame([(line.partition(":")[0] if "rows" in line else line,) for line in lines], "line string")
-
-
 @query("""SELECT 'customers.dataFrame.csv' AS file, CONCAT(c_custkey, ',', coalesce('"' || replace(c_name, '"', '""') || '"', ''), ',', c_nationkey) AS line FROM customer
   UNION ALL SELECT 'names.vector.csv', coalesce('"' || replace(c_name, '"', '""') || '"', '') FROM customer UNION ALL SELECT 'scalars.csv', '"one",1'""")
-def namespace_csv_rows(s, d):
+def namespace_csv(s, d):
     """Every line of the exported files, without the frame's header and notes."""
     folder = scratch(s, "csv")
     with Workspace(s, f"{folder}/space") as space:
@@ -628,7 +603,7 @@ def namespace_csv_rows(s, d):
 
 
 @query("SELECT 'nations: frame' AS line, CAST(0 AS BIGINT) AS samples UNION ALL " + " UNION ALL ".join(f"SELECT CONCAT('  {c} {t}, ', count(*), ' rows, ', min({c}), ' to ', max({c})), least(count(*), 10) FROM nation" for c, t in (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int"))))
-def store_report_columns(s, d):
+def store_report(s, d):
     """The report's line on each column, with the number of its samples."""
     folder = scratch(s, "space")
     with Workspace(s, folder) as space:
@@ -636,3 +611,139 @@ def store_report_columns(s, d):
         lines = space.report().splitlines()
     parts = [line.partition(": ") if "rows" in line else (line, "", "") for line in lines]
     return s.createDataFrame([(a, len(b.split(", ")) if b else 0) for a, _, b in parts], "line string, samples long")
+
+
+# operators that one value or one verdict shows
+@query("SELECT CAST(i AS BIGINT) AS rid, CAST(i * 3 AS INTEGER) AS v FROM range(0, 40) AS r(i)")
+def array_vector(s, d):
+    return builders.vector(s, np.arange(40) * 3, "INTEGER")
+
+
+@query("SELECT CAST(i AS BIGINT) AS rid, i * 0.5::DOUBLE AS v FROM range(0, 40) AS r(i)")
+def numeric_vector(s, d):
+    """A list of numbers is a vector of its first one's type."""
+    return builders.vector(s, [i * 0.5 for i in range(40)])
+
+
+@query("SELECT count(*) AS n, sum(CAST(n_nationkey AS DOUBLE)) AS total, count(DISTINCT n_nationkey) AS different FROM nation")
+def values_as_list(s, d):
+    """A whole column on the driver, which the caller knows to fit: of a small table."""
+    listed, doubles = builders.values(table(s, d, "nation"), "n_nationkey", "n_nationkey"), builders.as_doubles(table(s, d, "nation"), "n_nationkey", "n_nationkey")
+    return s.createDataFrame([(len(listed), float(doubles.sum()), len(set(listed)))], "n long, total double, different long")
+
+
+@query("SELECT count(*) AS n FROM orders")
+def rows_acted_on(s, d):
+    """An action on the executors, for each row of every partition."""
+    seen = s.sparkContext.accumulator(0)
+
+    def count(rows):
+        for _ in rows:
+            seen.add(1)
+
+    builders.for_each(orders(s, d), count)
+    return s.createDataFrame([(seen.value,)], "n long")
+
+
+@query("SELECT 'p_partkey' AS row_id, 'p_name' AS labels, 'p_size' AS sorted, true AS estimated")
+def frame_notes(s, d):
+    df = frame.set_row_id(schema.annotate(schema.annotate(part(s, d), "p_name", label=True), "p_size", sorted=True), "p_partkey")
+    return s.createDataFrame([(frame.row_id(df), ",".join(frame.labels(df)), ",".join(frame.sorted_columns(df)), frame.estimated_bytes(df) > 0)], "row_id string, labels string, sorted string, estimated boolean")
+
+
+@query("SELECT c_custkey, 'c_mktsegment factor' AS factor FROM customer")
+def factor_mark(s, d):
+    customers = table(s, d, "customer")
+    marked = factors.encode(customers, "c_mktsegment", factors.factor(customers, "c_mktsegment"), "code")
+    return marked.select("c_custkey", F.lit(schema.metadata(marked, "c_mktsegment")["factor"]).alias("factor"))
+
+
+@query(f"SELECT c_custkey, c_mktsegment AS segment FROM customer JOIN {_CODES} ON v = c_mktsegment")
+def factor_decode(s, d):
+    customers = table(s, d, "customer")
+    codes = factors.factor(customers, "c_mktsegment")
+    return factors.decode(factors.encode(customers, "c_mktsegment", codes, "code"), "code", codes, "segment").select("c_custkey", "segment")
+
+
+@query("SELECT CASE v WHEN 'BUILDING' THEN 'HOUSES' ELSE v END AS value, code FROM " + _CODES)
+def factor_renamed(s, d):
+    return factors.clone_and_rename(factors.factor(table(s, d, "customer"), "c_mktsegment"), {"BUILDING": "HOUSES"})
+
+
+@query("SELECT true AS within")
+def quantiles_estimated(s, d):
+    """Whether all 21 estimated percentiles lie within a hundredth of the ranks of the exact ones."""
+    df = events(s, d)
+    estimated, n = stats.approximate_quantiles(df, "value").first(), df.count()
+    ranks = df.agg(*[F.count_if(F.col("value") < estimated[f"p{p}"]).alias(f"a{p}") for p in stats.PERCENTILES], *[F.count_if(F.col("value") <= estimated[f"p{p}"]).alias(f"z{p}") for p in stats.PERCENTILES]).first()
+    within = all(ranks[f"a{p}"] - 0.01 * n <= p / 100 * n <= ranks[f"z{p}"] + 0.01 * n + 1 for p in stats.PERCENTILES)
+    return s.createDataFrame([(within,)], "within boolean")
+
+
+@query("SELECT p_partkey, p_size = 15 AS same FROM part")
+def equal_as_long(s, d):
+    return (df := part(s, d)).select("p_partkey", schema.equals_as_long(df, "p_size", 15.7).alias("same"))
+
+
+@query(f"""WITH x AS (SELECT event_id, value AS v, row_number() OVER (ORDER BY event_id) AS k FROM events)
+  SELECT (k - 1) // 100 AS "binNumber", CAST(max(k) AS VARCHAR) AS name, round(min(v), 6) AS "binMin", round(max(v), 6) AS "binMax", count(*) AS "binCount", round(avg(v), 6) AS "binMean" FROM x GROUP BY (k - 1) // 100""")
+def olhc_summaries(s, d):
+    return rounded(bars.running_bars(events(s, d), "value", "event_id", 100, summaries=("binMean",)))
+
+
+@query("SELECT p_partkey, p_size BETWEEN 10 AND 20 AS whole, p_retailprice >= 1000 AND p_retailprice < 1200 AS real FROM part")
+def made_ranges(s, d):
+    whole, real = predicates.make_range(10, 20), predicates.make_range(1000.0, 1200.0)
+    return part(s, d).select("p_partkey", whole.contains(F.col("p_size")).alias("whole"), real.contains(F.col("p_retailprice")).alias("real"))
+
+
+@query("SELECT * FROM (VALUES ('range of text'), ('range of booleans'), ('range downwards'), ('membership of reals'), ('membership of booleans'), ('comparison of text'), ('too many values'), ('other rows bound'), ('short name')) AS t(rejected)")
+def rejections(s, d):
+    """The cases that raise, of those that must."""
+    df, lines = part(s, d), flagged(s, d)
+    cases = {
+        "range of text": lambda: Between("p_name", "a", "b").column(df),
+        "range of booleans": lambda: Between("returned", 0, 1).column(lines),
+        "range downwards": lambda: Between("p_size", 20, 10).column(df),
+        "membership of reals": lambda: In("p_retailprice", [1.0]).column(df),
+        "membership of booleans": lambda: In("returned", [True]).column(lines),
+        "comparison of text": lambda: Compare("p_name", "<", "b").column(df),
+        "too many values": lambda: stats.sorted_unique(df, "p_partkey", most=5),
+        "other rows bound": lambda: frame.cbind(df.select("p_partkey"), "w", df.select((F.col("p_partkey") + 1).alias("p_partkey"), "p_size"), "p_size", "p_partkey").collect(),
+        "short name": lambda: schema.check_name("x"),
+    }
+    raised = []
+    for name, case in cases.items():
+        try:
+            case()
+        except Exception:
+            raised.append((name,))
+    return s.createDataFrame(raised, "rejected string")
+
+
+@query("SELECT * FROM (VALUES ('anonymous name', '__Frame_1'), ('copied rows', '25'), ('deleted', 'True'), ('garbage', 'persistent/lost'), ('other workspace', 'refused'), ('second writer', 'refused'), ('used when closed', 'refused'), ('wiped', '0')) AS t(case_, result)")
+def workspace_rules(s, d):
+    nations, out = table(s, d, "nation"), {}
+
+    def refused(action) -> str:
+        try:
+            action()
+        except Exception:
+            return "refused"
+        return "allowed"
+
+    here, there = scratch(s, "space"), scratch(s, "space")
+    with Workspace(s, here) as a, Workspace(s, there) as b:
+        out["anonymous name"] = a.spaces["temp"].add(nations)
+        kept = a.assign("persistent.nations", nations)
+        out["other workspace"] = refused(lambda: b.assign("nations", kept))
+        out["copied rows"] = str(a.copy_to("persistent.nations", b).count())
+        out["second writer"] = refused(lambda: Workspace(s, here))
+        nations.write.parquet(f"{here}/persistent/lost")
+        out["garbage"] = ",".join(a.collect_garbage())
+        a.wipe()
+        out["wiped"] = str(sum(len(a.spaces[t].names()) for t in a.spaces))
+    out["used when closed"] = refused(lambda: a.get("persistent.nations"))
+    Workspace(s, here).delete()
+    out["deleted"] = str(not Files(s).exists(here))
+    return s.createDataFrame(sorted(out.items()), "case_ string, result string")

@@ -65,7 +65,7 @@ def values(df: DataFrame, column: str, order: str) -> list:
 
 
 def as_doubles(df: DataFrame, column: str, order: str):
-    """Values as a NumPy array of doubles, over Arrow."""
+    """Values as a NumPy array of doubles, over Arrow: for what fits the driver by the caller's own judgement."""
     return df.orderBy(order).select(F.col(f"`{column}`").cast("double").alias("v")).toPandas()["v"].to_numpy()
 
 

@@ -12,8 +12,8 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables
 
 
 def test_lost_lines_show(spark, monkeypatch):
-    whole = columnar.QUERIES["namespace_csv_rows"](spark, DATA).count()
+    whole = columnar.QUERIES["namespace_csv"](spark, DATA).count()
     lines = export.csv_lines
     monkeypatch.setattr(export, "csv_lines", lambda df: lines(df).limit(1))
-    assert columnar.QUERIES["namespace_csv_rows"](spark, DATA).count() < whole
-    assert [r["line"].split()[0] for r in columnar.QUERIES["store_report_columns"](spark, DATA).collect()] == ["nations:", "n_nationkey", "n_name", "n_regionkey"]
+    assert columnar.QUERIES["namespace_csv"](spark, DATA).count() < whole
+    assert [r["line"].split()[0] for r in columnar.QUERIES["store_report"](spark, DATA).collect()] == ["nations:", "n_nationkey", "n_name", "n_regionkey"]
