@@ -61,7 +61,7 @@ class Limits:
     width: float = 0.02
 
 
-def _feature_schema(source: str, segment: str, row: str, df: DataFrame, levels: list[str], amount: str) -> T.StructType:
+def _feature_schema(source: str, segment: str, time: str, row: str, df: DataFrame, levels: list[str], amount: str) -> T.StructType:
     return T.StructType(
         [
             T.StructField("source", df.schema[source].dataType),
@@ -75,7 +75,7 @@ def _feature_schema(source: str, segment: str, row: str, df: DataFrame, levels:
             T.StructField("locals", T.IntegerType()),
             T.StructField("idle", T.BooleanType()),
             T.StructField("arun", T.IntegerType()),
-            T.StructField("reading", df.schema["reading"].dataType),
+            *[T.StructField(f"__{i}", df.schema[x].dataType) for i, x in enumerate([segment, time, *levels, amount])],  # as they came
         ]
     )
 
@@ -214,8 +214,8 @@ def _features(source: str, segment: str, time: str, row: str, levels: list[str],
                 arrays.append(col(source))
             elif f.name == "rid":
                 arrays.append(col(row))
-            elif f.name == "reading":
-                arrays.append(col("reading"))
+            elif f.name.startswith("__"):
+                arrays.append(col([segment, time, *levels, amount][int(f.name[2:])]))
             elif pa.types.is_floating(f.type):
                 arrays.append(pa.array(out[f.name], f.type, from_pandas=True))
             else:
@@ -339,9 +339,9 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     """
     p, c = limits, (lambda name: F.col(f"`{name}`"))
     names = [source, segment, time, *levels, amount]
-    slim = df.filter(c(source).isNotNull() & c(segment).isNotNull() & c(time).between(1, p.day)).select(c(row), F.struct(*[c(x) for x in names]).alias("reading"))
-    readings = slim.groupBy("reading").agg(F.min(c(row)).alias(row)).select(row, "reading", *[F.col(f"reading.`{x}`").alias(x) for x in names])
-    schema = _feature_schema(source, segment, row, readings, levels, amount)
+    slim = df.filter(c(source).isNotNull() & c(segment).isNotNull() & c(time).between(1, p.day)).select(c(row), *[c(x) for x in names])
+    readings = slim.groupBy(*[c(x) for x in names]).agg(F.min(c(row)).alias(row))
+    schema = _feature_schema(source, segment, time, row, readings, levels, amount)
     # a segment has at most as many times as its length, so no task holds more than its different readings, however many rows its source has
     feats = readings.repartition(partitions(df), c(source), c(segment)).sortWithinPartitions(source, segment, time, row).mapInArrow(_features(source, segment, time, row, levels, amount, p, to_arrow_schema(schema)), schema)
     feats = materialize(feats, "features")
@@ -395,30 +395,36 @@ def implausible(df: DataFrame, source: str, segment: str, time: str, row: str, l
     heavier = F.greatest((lean(p.tail_prior) * F.col("high") / F.col("spread") + (1 - lean(p.tail_prior)) * F.lit(high)) / F.lit(NORMAL[1]), F.lit(1.0))
     spread = spread.select("source", (F.col("spread") * heavier).alias("spread"))
 
-    whole = join_dimension(feats, materialize(stats.join(spread, "source", "left").join(seasons, "source", "left"), "judged"), ["source"], "inner")
-    scored = whole.select(
+    tests = [*[(f"z{i}", p.level_alpha, p.level_prior, f"ranked{i}") for i in range(k)], ("za", p.amount_alpha, p.amount_prior, "first")]
+    # only rows that any check may flag go on: the test goes down to half of a source's bars
+    least = {z: esd_limit(F.col("n"), F.ceil(F.col("n") / 2), alpha, prior) for z, alpha, prior, _ in tests}
+    judged = stats.join(spread, "source", "left").join(seasons, "source", "left")
+    judged = judged.withColumns({f"least{i}": (F.col(f"scale{i}") * _from_normal(least[f"z{i}"], tails[f"t{i}0"], tails[f"t{i}1"])).cast("float") for i in range(k)} | {"leasta": F.col("spread") * least["za"]})
+    whole = join_dimension(feats, materialize(judged, "judged"), ["source"], "inner")
+    over = detrended - seasonal
+    stuck = _stuck([(f"run{i}", f"repeats{i}") for i in range(k)] + [("arun", "repeats")], p)
+    may = reduce(Column.__or__, [F.coalesce(F.col(f"gap{i}") >= F.col(f"least{i}"), F.lit(False)) for i in range(k)], F.col("impossible") | stuck | F.coalesce(over >= F.col("leasta"), F.lit(False)))
+    scored = whole.filter(may).select(
         "source",
-        "rid",
-        "reading",
+        *[f"__{i}" for i in range(len(names) - 1)],
         "first",
         "impossible",
         "n",
         *[f"own{i}" for i in range(k)],
         *[_as_normal(F.col(f"gap{i}") / F.col(f"scale{i}"), tails[f"t{i}0"], tails[f"t{i}1"]).alias(f"z{i}") for i in range(k)],
-        ((detrended - seasonal) / F.col("spread")).alias("za"),
-        _stuck([(f"run{i}", f"repeats{i}") for i in range(k)] + [("arun", "repeats")], p).alias("stuck"),
+        (over / F.col("spread")).alias("za"),
+        stuck.alias("stuck"),
     )
-    tests = [*[(f"z{i}", p.level_alpha, p.level_prior, f"ranked{i}") for i in range(k)], ("za", p.amount_alpha, p.amount_prior, "first")]
-    # only rows that any check may flag go on: the test goes down to half of a source's bars
-    may = F.col("impossible") | F.col("stuck")
-    for z, alpha, prior, _ in tests:
-        may |= F.coalesce(F.col(z) > esd_limit(F.col("n"), F.ceil(F.col("n") / 2), alpha, prior), F.lit(False))
-    scored = materialize(scored.filter(may), "scored")
+    scored = materialize(scored, "scored")
     ranked = scored.withColumns({f"ranked{i}": F.col("first") | F.col(f"own{i}") for i in range(k)})
     flagged = join_dimension(scored, materialize(_cutoffs(ranked, tests, p), "cutoffs"), ["source"], "left")
     spike = reduce(Column.__or__, [F.coalesce(F.col(z) >= F.col(f"cut_{z}"), F.lit(False)) for z, *_ in tests])
-    found = materialize(flagged.select("reading", "impossible", spike.alias("spike"), "stuck").filter("impossible or spike or stuck"), "found")
-    return join_dimension(slim, found, ["reading"], "inner").select(c(row), "impossible", "spike", "stuck")
+    found = flagged.select(F.col("source").alias(source), F.col("__0").alias(segment), F.col("__1").alias(time), *[f"__{i}" for i in range(2, len(names) - 1)], "impossible", spike.alias("spike"), "stuck")
+    found = materialize(found.filter("impossible or spike or stuck"), "found")
+    # every row of a flagged reading: the same source, segment and time, and the same values, nulls being equal
+    flat = slim.select(c(row).alias("__row"), c(source), c(segment), c(time), *[c(x).alias(f"__of{i}") for i, x in enumerate(names[3:], 2)])
+    same = reduce(Column.__and__, [F.col(f"__{i}").eqNullSafe(F.col(f"__of{i}")) for i in range(2, len(names) - 1)])
+    return join_dimension(flat, found, [source, segment, time], "inner").filter(same).select(F.col("__row").alias(row), "impossible", "spike", "stuck")
 
 
 def _as_normal(z: Column, near: float | None, far: float | None) -> Column:
@@ -429,6 +435,14 @@ def _as_normal(z: Column, near: float | None, far: float | None) -> Column:
     return F.lit(NORMAL[1]) * F.pow(z / F.lit(far), F.lit(1 / b))
 
 
+def _from_normal(u: Column, near: float | None, far: float | None) -> Column:
+    """The residual that ``_as_normal`` gives u for."""
+    if not near or not far or far <= near:
+        return u
+    b = max(math.log(far / near) / math.log(NORMAL[1] / NORMAL[0]), 1.0)
+    return F.lit(float(far)) * F.pow(u / F.lit(NORMAL[1]), F.lit(b)) * F.lit(1 - 1e-6)
+
+
 def _repeats(same: Column, of: Column, longest: Column) -> Column:
     """Share of steps that repeat the value, the longest run left out, as that may be the stuck one."""
     return F.greatest(same - longest, F.lit(0)) / F.greatest(of - longest, F.lit(1))
