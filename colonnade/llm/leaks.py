@@ -298,6 +298,27 @@ class Pair:
         return best, len(covered)
 
 
+class Run:
+    """A document and an item that share a single run of seeds: only the words at its ends are looked at."""
+
+    def __init__(self, raw: list[bytes], known: bytes, names: list[bytes], at: list[int], p: Tiling):
+        self.raw, self.known, self.names, self.at, self.p = raw, known, names, at, p
+
+    def _same(self, q: int, k: int) -> bool:
+        x, y = self.names[q], self.raw[k]
+        return x == y or (not self.known[k] and min(len(x), len(y)) >= 3 and y not in self.names and SequenceMatcher(None, x, y, False).ratio() >= self.p.alike)
+
+    def measure(self, d: int, q: int, n: int) -> tuple[int, int]:
+        """As ``Pair.measure`` of the one tile of n words at d and q."""
+        a, z, dz = q, q + n, d + n
+        while a > 0 and d > 0 and self._same(a - 1, d - 1):
+            a, d = a - 1, d - 1
+        while z < len(self.names) and dz < len(self.raw) and self._same(z, dz):
+            z, dz = z + 1, dz + 1
+        stretch = self.at[z - 1] - self.at[a] + 1
+        return stretch, stretch
+
+
 class Items:
     """A few items in memory, for texts at hand: what ``find_leaks`` does with tables."""
 
@@ -380,14 +401,35 @@ def _candidates(p: Tiling, sent, kind: pa.DataType):
     return run
 
 
+def _one_run(pos: list[int], places: list[int]) -> bool:
+    """Whether the seeds follow one another on one diagonal: then they are one tile, whatever else the document holds."""
+    n = len(pos) - 1
+    return len({d - q for d, q in zip(pos, places)}) == 1 and max(pos) - min(pos) == n
+
+
 def _tiled(p: Tiling, arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, raw = None, []
+        items: dict[int, tuple] = {}
         for b in batches:
             found = []
-            for raw, known, item, at, hits in zip(*[b.column(c).to_pylist() for c in ("words", "known", "item", "at", "hits")]):
-                names = item.split(b" ")
-                pair = Pair.of(raw.split(b" "), np.frombuffer(known, np.uint8) == 1, names, at, p)
-                found.append((*pair.measure([x["pos"] for x in hits], [x["place"] for x in hits]), at[-1] - at[0] + 1))
+            hits, ends = b.column("hits"), b.column("hits").offsets.to_pylist()
+            every, places = (hits.values.field(x).to_pylist() for x in ("pos", "place"))
+            # words of a document and of an item are taken apart once while they come in a row
+            for i, (key, iid, known) in enumerate(zip(*[b.column(c).to_pylist() for c in ("key", "iid", "known")])):
+                if key != last:
+                    last, raw = key, b.column("words")[i].as_py().split(b" ")
+                if iid not in items:
+                    if len(items) > 20_000:
+                        items.clear()
+                    items[iid] = (b.column("item")[i].as_py().split(b" "), b.column("at")[i].as_py())
+                names, at = items[iid]
+                pos, place = every[ends[i] : ends[i + 1]], places[ends[i] : ends[i + 1]]
+                if _one_run(pos, place):
+                    found.append((*Run(raw, known, names, at, p).measure(min(pos), min(place), len(pos) + p.seed - 1), at[-1] - at[0] + 1))
+                else:
+                    pair = Pair.of(raw, np.frombuffer(known, np.uint8) == 1, names, at, p)
+                    found.append((*pair.measure(pos, place), at[-1] - at[0] + 1))
             best, covered, of = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
             keep = pa.array((best >= p.words) | ((covered >= p.words) & (covered >= p.coverage * of)))
             columns = [b.column("doc_id"), b.column("item_id"), pa.array(best, pa.int32()), pa.array(covered, pa.int32())]
@@ -420,7 +462,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, i
     hits = found.select("key", F.explode(F.arrays_zip(F.col("places").alias("pos"), F.col("hashes").alias("hash"))).alias("h")).select("key", "h.pos", "h.hash")
     pairs = join_dimension(hits, seeds, ["hash"], "inner").groupBy("key", "iid").agg(F.collect_list(F.struct("pos", "place")).alias("hits"))  # of one document and one item
     pairs = materialize(pairs, "pairs")
-    pairs = join_dimension(pairs, held.select("iid", "item_id", "item", "at"), ["iid"], "inner")
     pairs = join_dimension(pairs, found.select("key", "doc_id", "words", "known"), ["key"], "inner")
+    pairs = join_dimension(pairs, held.select("iid", "item_id", "item", "at"), ["iid"], "inner")
     schema = T.StructType([T.StructField("doc_id", key), T.StructField("item_id", item_key), T.StructField("words", T.IntegerType()), T.StructField("covered", T.IntegerType())])
-    return pairs.select("doc_id", "item_id", "words", "known", "item", "at", "hits").mapInArrow(_tiled(p, to_arrow_schema(schema)), schema)
+    return pairs.select("doc_id", "item_id", "key", "iid", "words", "known", "item", "at", "hits").mapInArrow(_tiled(p, to_arrow_schema(schema)), schema)

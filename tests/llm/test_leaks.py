@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from colonnade.llm.leaks import Items, Tiling, find_leaks, words
+from colonnade.llm.leaks import Items, Pair, Run, Tiling, _one_run, find_leaks, words
 
 RNG = random.Random(3)
 NOUNS = "lantern harbour kettle mirror saddle orchard violin whistle parcel blanket ladder furnace tunnel basket candle".split()
@@ -136,3 +137,22 @@ def test_other_scripts(text):
 def test_a_full_stop_without_a_space_is_no_address():
     assert words("1\n00:00:01,000 --> 00:00:02,000\ncome home.then we left\n") == words("1\n00:00:01,000 --> 00:00:02,000\ncome home. then we left\n") != []
     assert words("1\n00:00:01,000 --> 00:00:02,000\nBest deals on kettles! www.lines.example\n") == []
+
+
+def test_a_single_run_measures_as_the_tiling_does():
+    rng = random.Random(21)
+    names = [f"w{k}x".encode() for k in range(20)]
+    at, p = list(range(20)), Tiling()
+    for _ in range(300):
+        q, n = rng.randrange(0, 12), rng.randint(4, 8)
+        raw = [rng.choice([b"other", b"things", names[rng.randrange(20)]]) for _ in range(30)]
+        d = rng.randrange(12)
+        for j in range(-3, n + 3):
+            if 0 <= q + j < 20 and 0 <= d + j < 30:
+                raw[d + j] = names[q + j] if 0 <= j < n else rng.choice([names[q + j], names[q + j] + b"z", b"else"])
+        known = np.array([w == b"things" for w in raw])
+        seeds = [(x, y) for x in range(len(raw) - 3) for y in range(17) if raw[x : x + 4] == names[y : y + 4]]
+        pos, places = [x for x, _ in seeds], [y for _, y in seeds]
+        if _one_run(pos, places):
+            flags = (known | np.array([w in names for w in raw])).astype(np.uint8).tobytes()
+            assert Run(raw, flags, names, at, p).measure(min(pos), min(places), len(pos) + 3) == Pair.of(raw, known, names, at, p).measure(pos, places)
