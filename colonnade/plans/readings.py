@@ -39,8 +39,8 @@ def p4_counter(spark: SparkSession, folder: str) -> DataFrame:
     """A meter of each symbol's volume that begins anew every day and at every multiple of WRAP, on the regular grid."""
     bars = table(spark, folder, "stock_quotes").select("rid", "trade_day", "second", "symbol", "binVolume")
     bars = bars.filter(F.col("symbol").isNotNull() & F.col("second").between(1, SESSION) & (F.col("binVolume") >= 0))
-    # a symbol's day is a bounded stretch of time
-    so_far = F.sum("binVolume").over(Window.partitionBy("symbol", "trade_day").orderBy("second", "rid").rowsBetween(Window.unboundedPreceding, 0))
+    # a symbol's day is a bounded stretch of time; what each bar adds is wrapped first, as sums of 64-bit volumes may overflow
+    so_far = F.sum(F.col("binVolume") % WRAP).over(Window.partitionBy("symbol", "trade_day").orderBy("second", "rid").rowsBetween(Window.unboundedPreceding, 0))
     steps = table(spark, folder, "symbols").select("symbol", "grid_seconds")
     meter = join_dimension(bars.withColumn("meter", so_far % WRAP), steps, ["symbol"], "inner")
     cells = regular_grid(meter, "symbol", "trade_day", "second", "meter", "grid_seconds", "rid", kind="counter")
@@ -92,7 +92,7 @@ ORACLES = {
 """,
     "p4_counter": f"""
   WITH m AS (SELECT q.trade_day, q.symbol, q."second" AS t, q.rid, CAST(s.grid_seconds AS BIGINT) AS step,
-      CAST(CAST(sum(q."binVolume") OVER (PARTITION BY q.symbol, q.trade_day ORDER BY q."second", q.rid) AS BIGINT) % {WRAP} AS DOUBLE) AS v
+      CAST(CAST(sum(q."binVolume" % {WRAP}) OVER (PARTITION BY q.symbol, q.trade_day ORDER BY q."second", q.rid) AS BIGINT) % {WRAP} AS DOUBLE) AS v
     FROM stock_quotes q JOIN symbols s ON q.symbol = s.symbol WHERE q."second" BETWEEN 1 AND {SESSION} AND q."binVolume" >= 0 AND s.grid_seconds > 0),
   i AS (SELECT trade_day, symbol, t, count(*) AS n, max(step) AS step, arg_max(v, rid) AS v FROM m GROUP BY ALL),
   l AS (SELECT *, lag(t) OVER w AS t0, lag(v) OVER w AS v0 FROM i WINDOW w AS (PARTITION BY symbol, trade_day ORDER BY t)),
